@@ -141,6 +141,8 @@ def _emitters() -> tuple[dict[str, list[int]], dict[str, frozenset]]:
     return leads, {c: frozenset(ks) for c, ks in singles.items()}
 
 
+#: what nearly every text garbled from UTF-8 has: lead bytes of common scripts before a continuation, or entities of them
+_HINT = re.compile("[ÃÂâÐÑÎÏÅÄ][^\x00-\x7f]|[├╨╤╬ð√‚¬РС][^\x00-\x7fа-яёА-Яії\\s“”’…»]|&(?:Atilde|Acirc|acirc|ETH|Ntilde|Icirc|Iuml|Aring|Auml);")
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _SPACES = frozenset("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 _MARKS = "“”„«»–—…’‘•.,;:!?\"'()"
@@ -233,6 +235,35 @@ def train(texts: DataFrame, column: str = "text", min_share: float = 1e-7) -> di
     return model
 
 
+def plain(text: str) -> str:
+    """A quick reading for statistics: the text decoded by the UTF-8 pair that explains the most of it, if one explains much.
+
+    No probabilities are involved; use ``Model.restore`` where the text itself matters.
+    """
+    if text.isascii() and "&" not in text or not _HINT.search(text):
+        return text
+    text = unescaped(text)
+    sample = _RUN.findall(text)
+    best, most = None, 0
+    for state in states():
+        if state.utf8:
+            got = sum(1 for run in sample[:200] if state.unit(run, 0))
+            if got > most:
+                best, most = state, got
+    if best is None or most < 0.3 * min(len(sample), 200):
+        return text
+
+    def decode(m: re.Match) -> str:
+        run, out, i = m.group(), [], 0
+        while i < len(run):
+            u = best.unit(run, i)
+            out.append(u[0] if u else run[i])
+            i += u[1] if u else 1
+        return "".join(out)
+
+    return _RUN.sub(decode, text)
+
+
 class Model:
     """Interpolated trigram model of clean text and the Viterbi labelling that uses it."""
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm import mojibake
+from quirework.llm import text_quality as quality
 from quirework.runtime import spread, table
 
 QUERIES: dict = {}
@@ -47,3 +48,38 @@ def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
     return _restored(spark, folder).select(
         "table_name", "record_id", "field", F.col("r.restored").alias("restored"), F.col("r.n_spans").alias("n_spans"), F.col("r.n_lost").alias("n_lost"), F.array_join("r.states", ",").alias("states")
     ).dropDuplicates(["table_name", "record_id", "field"])
+
+
+def _chapter_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and counts of every chapter with content."""
+    chapters = table(spark, folder, "chapters", "chapter_uid", "content", "word_count", "char_count").where("content IS NOT NULL")
+    words = table(spark, folder, "common_words", F.lower("word").alias("word")).where("word IS NOT NULL").distinct().limit(COMMON_WORDS_BOUND + 1).collect()
+    if len(words) > COMMON_WORDS_BOUND:
+        raise ValueError("common_words is larger than its bound")
+    common = frozenset(r.word for r in words)
+    trees = quality.train(quality.sample_texts(chapters, "chapter_uid", "content"), common)
+    return spread(chapters).select(
+        "chapter_uid", "word_count", "char_count", quality.count_words(F.col("content")).cast("bigint").alias("n_words"), F.char_length("content").cast("bigint").alias("n_chars"),
+        quality.statistics(F.col("content"), trees, common).alias("s"),
+    )
+
+
+#: common words are shipped to the workers; the table is small by nature, and this many are accepted
+COMMON_WORDS_BOUND = 200_000
+
+
+@query
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters of which more than half of the lines are list entries, table rows or junk, and chapters with wrong counts."""
+    findings = F.array(
+        F.when(F.col("s.share_list") > 0.5, "list"), F.when(F.col("s.share_table") > 0.5, "table"), F.when(F.col("s.share_junk") > 0.5, "junk"),
+        F.when(~(F.col("word_count").eqNullSafe(F.col("n_words")) & F.col("char_count").eqNullSafe(F.col("n_chars"))), "count"),
+    )
+    each = _chapter_statistics(spark, folder).select("chapter_uid", F.explode(F.array_compact(findings)).alias("finding"))
+    return each.distinct()
+
+
+@query
+def p6_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of every chapter, one row per chapter."""
+    return _chapter_statistics(spark, folder).select("chapter_uid", "n_words", "n_chars", "s.*").dropDuplicates(["chapter_uid"])
