@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import mojibake
+from quirework.llm import language, mojibake
 from quirework.llm import text_quality as quality
 from quirework.runtime import spread, table
 
@@ -83,3 +83,34 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 def p6_statistics(spark: SparkSession, folder: str) -> DataFrame:
     """The statistics of every chapter, one row per chapter."""
     return _chapter_statistics(spark, folder).select("chapter_uid", "n_words", "n_chars", "s.*").dropDuplicates(["chapter_uid"])
+
+
+def _declared(spark: SparkSession, folder: str) -> DataFrame:
+    """(book_id, declared ARRAY<STRING>): the languages that the labels of a book's latest harvest name."""
+    books = table(spark, folder, "epub_metadata", "book_id", "harvested_at", "harvest_id", "languages")
+    latest = books.groupBy("book_id").agg(F.max_by("languages", F.struct("harvested_at", "harvest_id")).alias("languages"))
+    return latest.select("book_id", F.array_distinct(F.array_compact(F.transform("languages", language.declared))).alias("declared"))
+
+
+def _segments(spark: SparkSession, folder: str) -> DataFrame:
+    """(chapter_uid, book_id, segments) of every chapter with content; the detector is trained on the labelled ones."""
+    chapters = table(spark, folder, "chapters", "chapter_uid", "book_id", "content").where("content IS NOT NULL")
+    labels = _declared(spark, folder).where("size(declared) = 1").select("book_id", F.col("declared")[0].alias("label"))
+    frequent = [(r.lang, r.word) for r in table(spark, folder, "common_words", "lang", "word").where("lang IS NOT NULL AND word IS NOT NULL").limit(COMMON_WORDS_BOUND).collect()]
+    texts = language.sample(chapters.join(labels, "book_id"), chapters, "chapter_uid", "content", "label")
+    detector = language.Detector(texts, frequent)
+    return spread(chapters).select("chapter_uid", "book_id", language.segments(F.col("content"), detector).alias("segments"))
+
+
+@query
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Chapters and languages in which they have a stretch of twelve words or more that their book doesn't declare."""
+    each = _segments(spark, folder).select("chapter_uid", "book_id", F.explode("segments").alias("s")).where("s.n_words >= 12").select("chapter_uid", "book_id", F.col("s.lang").alias("lang")).distinct()
+    return each.join(_declared(spark, folder), "book_id", "left").where("declared IS NULL OR NOT array_contains(declared, lang)").select("chapter_uid", "lang")
+
+
+@query
+def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every segment of every chapter with its language and confidence; a chapter of one language is one segment."""
+    each = _segments(spark, folder).dropDuplicates(["chapter_uid"]).select("chapter_uid", F.posexplode("segments").alias("segment", "s"))
+    return each.select("chapter_uid", F.col("segment").cast("bigint").alias("segment"), "s.start_word", "s.end_word", "s.n_words", "s.lang", F.round("s.confidence", 4).alias("confidence"))
