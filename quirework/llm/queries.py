@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quirework.llm import language, mojibake
 from quirework.llm import text_quality as quality
+from quirework.llm.spans import SharedSpans
 from quirework.runtime import spread, table
 
 QUERIES: dict = {}
@@ -114,3 +115,25 @@ def p2_segments(spark: SparkSession, folder: str) -> DataFrame:
     """Every segment of every chapter with its language and confidence; a chapter of one language is one segment."""
     each = _segments(spark, folder).dropDuplicates(["chapter_uid"]).select("chapter_uid", F.posexplode("segments").alias("segment", "s"))
     return each.select("chapter_uid", F.col("segment").cast("bigint").alias("segment"), "s.start_word", "s.end_word", "s.n_words", "s.lang", F.round("s.confidence", 4).alias("confidence"))
+
+
+def _shared_spans(spark: SparkSession, folder: str) -> SharedSpans:
+    return SharedSpans(spread(table(spark, folder, "documents", "doc_id", "text")), "doc_id", "text")
+
+
+@query
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of documents whose texts have a common span of at least 200 code points."""
+    return _shared_spans(spark, folder).pairs().select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
+
+
+@query
+def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
+    """For each document its class of copies, its links to other classes, and how much of its text also stands elsewhere."""
+    spans = _shared_spans(spark, folder)
+    short = table(spark, folder, "documents", "doc_id", F.char_length("text").cast("bigint").alias("n")).dropDuplicates(["doc_id"])
+    each = spans.coverage().withColumnRenamed("id", "doc_id")
+    return short.join(each, "doc_id", "left").select(
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
+        F.coalesce("n", F.lit(0)).cast("bigint").alias("n_chars"), F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars"),
+    )
