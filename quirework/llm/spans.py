@@ -6,7 +6,9 @@ anchor. Only the hash of an anchor, the text's class and the position are shuffl
 
 Parsing: a text is factored greedily against each text that shares an anchor: at an anchor both have, the match is extended
 to the left and right as far as the texts agree; that is a factor, and the parse goes on behind it. Factors of ``min_length``
-characters or more become spans. Factors are compared character by character, so nothing depends on hashes being unique.
+characters or more become spans. Where only the pairs are wanted, an anchor carries a hash of the ``min_length`` characters centred on
+it: equal ones prove a factor of that length without moving a text (every common span of ``2 * min_length - GRAM + 1`` characters has such an
+anchor); only pairs without such a proof are checked at their factor boundaries, character by character.
 
 Equal texts are one class (by two hashes and the length), parsed once. An anchor shared by more than ``CROWD`` texts (boilerplate,
 a hot group) is not turned into pairs: each of its texts emits the hashes of the at most ``min_length - GRAM + 1`` windows of
@@ -30,17 +32,20 @@ from pyspark.sql import functions as F
 from quirework.runtime import checkpointed
 
 GRAM = 100
-CROWD = 24
+CROWD = 64
 BUCKETS = 1 << 18
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
-def _powers(n: int) -> np.ndarray:
+_INVERSE = pow(_BASE, -1, 1 << 64)
+
+
+def _powers(n: int, base: int = _BASE) -> np.ndarray:
     out = np.empty(n, np.uint64)
     with np.errstate(over="ignore"):
         out[0] = 1
-        out[1:] = np.uint64(_BASE)
+        out[1:] = np.uint64(base)
         np.multiply.accumulate(out, out=out)
     return out
 
@@ -56,7 +61,7 @@ def window_hashes(text: str, width: int) -> np.ndarray:
         total = np.empty(n + 1, np.uint64)
         total[0] = 0
         np.cumsum((codes + np.uint64(0x1F123BB5)) * powers, out=total[1:])
-        h = (total[width:] - total[:-width]) * powers[::-1][: n - width + 1]
+        h = (total[width:] - total[:-width]) * _powers(n - width + 1, _INVERSE)  # free of the position, so equal in all texts
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
@@ -118,9 +123,9 @@ def factors(a: str, b: str, hits: list[tuple[int, int]], min_length: int) -> lis
 
 
 def _meetings(rows: DataFrame) -> DataFrame:
-    """(ca, cb, pa, pb) of the pairs of classes, smaller first, that have a hash in common."""
-    b = rows.select("h", F.col("c").alias("cb"), F.col("p").alias("pb"))
-    return rows.select("h", F.col("c").alias("ca"), F.col("p").alias("pa")).join(b, "h").where("ca < cb").select("ca", "cb", "pa", "pb")
+    """(ca, cb, pa, pb, sure) of the pairs of classes, smaller first, that have a hash in common."""
+    b = rows.select("h", F.col("c").alias("cb"), F.col("p").alias("pb"), F.col("w").alias("wb"))
+    return rows.select("h", F.col("c").alias("ca"), F.col("p").alias("pa"), "w").join(b, "h").where("ca < cb").select("ca", "cb", "pa", "pb", (F.col("w") == F.col("wb")).alias("sure"))
 
 
 class SharedSpans:
@@ -136,30 +141,36 @@ class SharedSpans:
         self.members = self.texts.select("id", "c").distinct()
 
     def anchors(self) -> DataFrame:
-        """(h, c, p): anchors of all texts, one row per class, anchor and position."""
+        """(h, c, p, w): anchors of all texts with the hash of the ``min_length`` characters centred on them."""
         least = self.min_length
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                hs, cs, ps = [], [], []
+                hs, cs, ps, ws = [], [], [], []
                 for c, text in zip(batch["c"], batch["text"]):
                     at, h = anchors(text, least)
+                    wide = window_hashes(text, least)
+                    start = at - (least - GRAM) // 2
+                    inside = (start >= 0) & (start < len(wide))
+                    w = np.full(len(at), c, np.int64)  # no such window: proves nothing, the class can't equal another text's
+                    w[inside] = wide[start[inside]].view(np.int64)
                     hs.append(h.view(np.int64))
                     ps.append(at)
+                    ws.append(w)
                     cs += [c] * len(at)
                 if cs:
-                    yield pd.DataFrame({"h": np.concatenate(hs), "c": cs, "p": np.concatenate(ps).astype(np.int32)})
+                    yield pd.DataFrame({"h": np.concatenate(hs), "c": cs, "p": np.concatenate(ps).astype(np.int32), "w": np.concatenate(ws)})
 
         short = self.texts.select(F.expr("struct(xxhash64(c) AS k)").alias("s"), "text").select(F.col("s.k").alias("c"), "text")
-        return short.mapInPandas(run, "h long, c long, p int")
+        return short.mapInPandas(run, "h long, c long, p int, w long")
 
-    def spans(self) -> DataFrame:
-        """(ca, cb, pa, pb, n): the factors of at least ``min_length`` characters between different classes, ca < cb."""
+    def _candidates(self, prove: bool) -> DataFrame:
+        """(ca, cb, sure, hits): pairs of classes with a common anchor; with ``prove`` hits are kept only where the anchor's hash is no proof."""
         least = self.min_length
         found = self.anchors().repartition("h")  # one exchange serves the count and the join
         shared = found.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b")
         rows = checkpointed(found.join(shared.select("h", (F.col("n") > CROWD).alias("crowded")), "h").distinct())
-        hits = _meetings(rows.where("NOT crowded"))
+        met = _meetings(rows.where("NOT crowded"))
         if not rows.where("crowded").isEmpty():
             # texts of crowded anchors that have an equal window of min_length characters
             crowds = rows.where("crowded").groupBy("c").agg(F.collect_set("p").alias("ps"))
@@ -174,8 +185,13 @@ class SharedSpans:
 
             around = self._some(crowds).join(crowds, "c").mapInPandas(windows, "h long, c long, p int").groupBy("h", "c").agg(F.min("p").alias("p")).repartition("h")
             equal = around.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-            hits = hits.unionByName(_meetings(around.join(equal, "h")))
-        hits = checkpointed(hits.groupBy("ca", "cb").agg(F.collect_set(F.struct("pa", "pb")).alias("hits")))
+            met = met.unionByName(_meetings(around.join(equal, "h").withColumn("w", F.lit(0).cast("bigint"))))
+        hit = F.struct("pa", "pb")
+        return met.groupBy("ca", "cb").agg(F.max("sure").alias("sure"), F.collect_set(F.when(~F.col("sure"), hit) if prove else hit).alias("hits"))
+
+    def _parsed(self, hits: DataFrame) -> DataFrame:
+        """(ca, cb, pa, pb, n): the factors of at least ``min_length`` characters of the pairs in ``hits``."""
+        least = self.min_length
         one = self._some(hits.select(F.explode(F.array("ca", "cb")).alias("c")))
         left = one.select(F.col("c").alias("ca"), F.col("text").alias("ta"))
         right = one.select(F.col("c").alias("cb"), F.col("text").alias("tb"))
@@ -188,7 +204,16 @@ class SharedSpans:
                 if out:
                     yield pd.DataFrame(out, columns=["ca", "cb", "pa", "pb", "n"]).astype({"pa": "int32", "pb": "int32", "n": "int32"})
 
-        return hits.join(left, "ca").join(right, "cb").mapInPandas(parse, "ca long, cb long, pa int, pb int, n int")
+        return hits.select("ca", "cb", "hits").join(left, "ca").join(right, "cb").mapInPandas(parse, "ca long, cb long, pa int, pb int, n int")
+
+    def spans(self) -> DataFrame:
+        """(ca, cb, pa, pb, n): the factors of at least ``min_length`` characters between different classes, ca < cb."""
+        return self._parsed(checkpointed(self._candidates(prove=False)))
+
+    def links(self) -> DataFrame:
+        """(ca, cb): pairs of different classes, ca < cb, with a common span."""
+        candidates = checkpointed(self._candidates(prove=True))
+        return candidates.where("sure").select("ca", "cb").unionByName(self._parsed(candidates.where("NOT sure")).select("ca", "cb").distinct())
 
     def _some(self, classes: DataFrame) -> DataFrame:
         """(c, text) of the classes that occur in a table, one row each.
@@ -206,7 +231,7 @@ class SharedSpans:
 
     def pairs(self) -> DataFrame:
         """(id_a, id_b), id_a < id_b: records that share a span, copies included, one row per pair."""
-        links = self.spans().select("ca", "cb").distinct()
+        links = self.links()
         ids = self._ids()
         many = ids.groupBy("c").agg(F.count("*").alias("n")).where("n > 1").select(F.col("c").alias("ca"), F.col("c").alias("cb"))
         both = links.unionByName(many)
