@@ -100,9 +100,10 @@ class Detector:
         self.known = frozenset().union(*self.vocabulary.values()) if counts else frozenset()
         self.content = {lang: " ".join([*seeds[lang], *(" ".join(own) for own in words[lang])]).encode()[-DICTIONARY_BYTES:] for lang in sorted(counts)}
         self._made: dict | None = None
+        self._last: str | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_made": None}
+        return self.__dict__ | {"_made": None, "_last": None}
 
     def _compressors(self) -> dict:
         if self._made is None:
@@ -127,10 +128,10 @@ class Detector:
 
     def blocks(self, words: list[str]) -> list[tuple[str | None, float, list[str]]]:
         """(language, confidence, candidates) of every block of ``BLOCK`` words; the last block takes a short rest."""
-        made, out, current = self._compressors(), [], None
+        made, out, current = self._compressors(), [], self._last  # a guess only: it must beat all others on the block
         starts = list(range(0, max(1, len(words) - BLOCK // 2 + 1), BLOCK))
         for at in starts:
-            block = " ".join(words[at : at + BLOCK] if at != starts[-1] else words[at:]).lower().encode()
+            block = " ".join(words[at : at + BLOCK] if at != starts[-1] else words[at:]).encode()
             if current is not None:
                 own, rest = made[current]
                 size = len(own(block))
@@ -138,9 +139,19 @@ class Detector:
                 if other >= CLEAR * size and size <= WORTH * len(block):
                     out.append((current, (other - size) / other, [current]))
                     continue
+            # before all dictionaries are tried: the language whose vocabulary has most of the words, if it beats all others together
+            own_words = words[at : at + BLOCK]
+            guess = max(self.vocabulary, key=lambda x: sum(map(self.vocabulary[x].__contains__, own_words)))
+            if guess != current and made[guess][1]:
+                size, other = len(made[guess][0](block)), len(made[guess][1](block))
+                if other >= CLEAR * size and size <= WORTH * len(block):
+                    out.append((guess, (other - size) / other, [guess]))
+                    current = guess
+                    continue
             lang, saved, two = self.best(block)
             out.append((lang, saved, two))
             current = lang or current
+        self._last = current
         return out
 
     def stretches(self, low: list[str], names: list[bool], lang: str, home: str) -> list[tuple[int, int, int]]:
@@ -167,12 +178,18 @@ class Detector:
         words = _WORD.findall(plain(text))
         if not words:
             return []
-        blocks = self.blocks(words)
+        low = " ".join(words).lower().split(" ")
+        if len(low) != len(words):
+            low = [w.lower() for w in words]
+        blocks = self.blocks(low)
         tally = Counter(lang for lang, _, _ in blocks if lang)
         if not tally:
             return []
         home = tally.most_common(1)[0][0]
-        low = [w.lower() for w in words]
+        if len(tally) == 1 and all(lang == home and two == [home] for lang, _, two in blocks):
+            n = sum(map(self.vocabulary[home].__contains__, low))
+            if n >= 0.75 * len(low) and n >= 4 * BLOCK:  # one language throughout
+                return [(0, len(low), n, home, sum(b[1] for b in blocks) / len(blocks))]
         names = [w[0].isupper() and (len(w) == 1 or w[1:].islower()) for w in words]
         near: dict[str, set[int]] = defaultdict(set)
         sure: dict[str, list[float]] = defaultdict(list)
