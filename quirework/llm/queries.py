@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 from quirework.llm import language, mojibake
 from quirework.llm import text_quality as quality
+from quirework.llm.mixing import mix, quality_weight
+from quirework.llm.packing import pack
 from quirework.llm.spans import SharedSpans
-from quirework.runtime import spread, table
+from quirework.llm.tokens import VOCABULARY, count_tokens
+from quirework.runtime import checkpointed, spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -137,3 +140,48 @@ def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_copies", F.lit(1)).cast("bigint").alias("n_copies"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.coalesce("n", F.lit(0)).cast("bigint").alias("n_chars"), F.coalesce("shared_chars", F.lit(0)).cast("bigint").alias("shared_chars"),
     )
+
+
+def _sizes(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY, weights: bool = False) -> DataFrame:
+    """(doc_id, source, n[, weight]): documents with their size in tokens; texts are tokenised once and the sizes checkpointed."""
+    documents = spread(table(spark, folder, "documents", "doc_id", "source", "text"))
+    extra = [quality_weight(F.col("text")).alias("weight")] if weights else []
+    return checkpointed(documents.select("doc_id", "source", F.coalesce(count_tokens(F.col("text"), vocabulary), F.lit(0)).alias("n"), *extra))
+
+
+@query
+def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents in containers of every capacity: one row per document, or per piece of one that is larger than the capacity."""
+    sizes = _sizes(spark, folder)
+    packs = table(spark, folder, "pack_targets", "pack_name", "capacity_tokens").distinct().orderBy("pack_name").collect()  # a few rows by nature
+    out = None
+    for target in packs:
+        one = pack(sizes, "doc_id", "n", target.capacity_tokens).select(F.lit(target.pack_name).alias("pack_name"), "container", "doc_id", "piece", F.col("n").alias("n_tokens"))
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "pack_name string, container bigint, doc_id bigint, piece int, n_tokens bigint")
+
+
+@query
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    """How full the containers of every capacity are."""
+    packs = table(spark, folder, "pack_targets", "pack_name", "capacity_tokens").distinct()
+    containers = p7_packed(spark, folder).groupBy("pack_name", "container").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("k"))
+    each = containers.groupBy("pack_name").agg(F.count("*").alias("n_containers"), F.sum("k").alias("n_items"), F.sum("t").alias("n_tokens"), F.max("t").alias("fullest"))
+    return each.join(F.broadcast(packs), "pack_name").select("pack_name", "capacity_tokens", "n_containers", "n_items", "n_tokens", "fullest", F.round(F.col("n_tokens") / (F.col("n_containers") * F.col("capacity_tokens")), 6).alias("filled"))
+
+
+def _mix(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    records = _sizes(spark, folder, weights=True).withColumnRenamed("doc_id", "id")
+    return mix(records, table(spark, folder, "mix_targets"))
+
+
+@query
+def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents of the mix with the number of times that each is used."""
+    return _mix(spark, folder)[0].select(F.col("id").alias("doc_id"), "source", F.col("n").alias("n_tokens"), "repeats")
+
+
+@query
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Target and actual share of every source."""
+    return _mix(spark, folder)[1]
