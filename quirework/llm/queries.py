@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import language, mojibake
+from quirework.llm import language, mojibake, names
 from quirework.llm import text_quality as quality
 from quirework.llm.mixing import mix, quality_weight
 from quirework.llm.packing import pack
@@ -185,3 +185,20 @@ def p8_mix(spark: SparkSession, folder: str) -> DataFrame:
 def p8_report(spark: SparkSession, folder: str) -> DataFrame:
     """Target and actual share of every source."""
     return _mix(spark, folder)[1]
+
+
+def _entities(spark: SparkSession, folder: str) -> DataFrame:
+    books = spread(table(spark, folder, "epub_metadata", "authors", "contributors", "publisher"))
+    return names.linked(books, ["authors", "contributors"], ["publisher"], table(spark, folder, "given_name_forms"))
+
+
+@query
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of different spellings of one person or organisation."""
+    return names.pairs(_entities(spark, folder))
+
+
+@query
+def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
+    """Every spelling with its entity and how often it is used."""
+    return _entities(spark, folder).select("spelling", "n", "kind", "entity")
