@@ -129,7 +129,7 @@ def person_form(text: str, given: frozenset[str], short: dict[str, str]) -> list
     tokens = [t for t in _pieces(right if comma else low) if t.strip(".") not in TITLES]
 
     def clean(t: str) -> str:
-        core = t.strip(".’'\"()")
+        core = t.strip(".’'\"()").replace("-", "")
         if len(core) == 1:
             return core + "."
         return core + ("." if t.endswith(".") else "")
@@ -156,9 +156,9 @@ def person_form(text: str, given: frozenset[str], short: dict[str, str]) -> list
             while at > 1 and tokens[at - 1] in PARTICLES:
                 at -= 1
             names, surname = tokens[:at], tokens[at:]
-    if names and names[0] in short:
+    if names and names[0] in short:  # known short forms
         names = [short[names[0]], *names[1:]]
-    return [*names, "_".join(t.strip(".") for t in surname)] if surname else names
+    return [*names, "_".join(t.strip(".").replace("-", "") for t in surname)] if surname else names
 
 
 def form(text: str, kind: str, given: frozenset[str], short: dict[str, str]) -> tuple[str, str, bool]:
@@ -260,7 +260,7 @@ def given_names(names: DataFrame, short: DataFrame | None = None, least: int = 5
     rows = scored.where(f"first >= {least} AND first >= 3 * last").select("t").limit(LEXICON_BOUND + 1).collect()
     if len(rows) > LEXICON_BOUND:
         raise ValueError("more given names than LEXICON_BOUND")
-    return frozenset(r.t for r in rows)
+    return frozenset(r.t for r in rows) - PARTICLES
 
 
 def forms(names: DataFrame, given: frozenset[str], short: dict[str, str]) -> DataFrame:
@@ -290,32 +290,42 @@ def _typing_links(nodes: DataFrame, common: int = 3) -> DataFrame:
     met = keyed.select("kind", "key", F.col("form").alias("a"), F.col("token").alias("ta")).join(keyed.select("kind", "key", F.col("form").alias("b"), F.col("token").alias("tb")), ["kind", "key"])
     met = met.where("a < b").select("a", "b", "ta", "tb").distinct().where(near("ta", "tb"))
     met = met.join(tokens.select(F.col("token").alias("ta"), F.col("df").alias("da")), "ta", "left").join(tokens.select(F.col("token").alias("tb"), F.col("df").alias("db")), "tb", "left")
-    return met.where(F.least(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0))) < common).select("a", "b").distinct()
+    few, many = F.least(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0))), F.greatest(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0)))
+    return met.where((few < common) | (few < 0.05 * many)).select("a", "b").distinct()
 
 
 def _settled(fits: DataFrame) -> DataFrame:
-    """(a, b): for each incomplete form the complete one that has most of the records of all that fit."""
-    best = fits.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"), F.max("n").alias("most"), F.sum("n").alias("all"))
+    """(a, b): for each incomplete form one of the names (groups g of forms) that fit, if it has most of the records of all of them."""
+    each = fits.groupBy("a", "g").agg(F.min("b").alias("b"), F.sum("n").alias("n"))
+    best = each.groupBy("a").agg(F.max_by("b", F.struct("n", "b")).alias("b"), F.max("n").alias("most"), F.sum("n").alias("all"))
     return best.where("most > 0.5 * all").select("a", "b")
 
 
 def _initial_links(nodes: DataFrame) -> DataFrame:
     """(a, b): person forms with initials or abbreviations, and the complete form each stands for."""
-    parts = nodes.where("kind = 'person' AND form LIKE '% %'").select("form", "n", "complete", F.element_at(F.split("form", " "), -1).alias("surname"), F.size(F.split("form", " ")).alias("k"), F.substring("form", 1, 1).alias("i"))
+    parts = nodes.where("kind = 'person' AND form LIKE '% %'").select("form", "g", "n", "complete", F.element_at(F.split("form", " "), -1).alias("surname"), F.size(F.split("form", " ")).alias("k"), F.substring("form", 1, 1).alias("i"))
     left = parts.where("NOT complete").select(F.col("form").alias("a"), "surname", "k", "i")
-    right = parts.where("complete").select(F.col("form").alias("b"), "n", "surname", "k", "i")
+    # names written out count; ones abbreviated to more than a letter only decide where none is written out
+    right = parts.where(~F.col("form").rlike(r"(^| )[^ ]\.")).select(F.col("form").alias("b"), "g", F.when(F.col("complete"), F.col("n") * 1000).otherwise(F.col("n")).alias("n"), "surname", "k", "i")
 
     @F.pandas_udf("double")
     def cost(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([assignment(x.split(" ")[:-1], y.split(" ")[:-1]) for x, y in zip(a, b)], dtype="float64")
 
-    return _settled(left.join(right, ["surname", "k", "i"]).withColumn("cost", cost("a", "b")).where("cost IS NOT NULL").select("a", "b", "n"))
+    return _settled(left.join(right, ["surname", "k", "i"]).withColumn("cost", cost("a", "b")).where("cost IS NOT NULL AND a <> b").select("a", "b", "g", "n"))
 
 
 def _acronym_links(nodes: DataFrame) -> DataFrame:
     """(a, b): acronyms and the organisation whose words begin with their letters."""
-    full = nodes.where("kind = 'org' AND form LIKE '% %'").select(F.col("form").alias("b"), "n", F.array_join(F.transform(F.split("form", " "), lambda w: F.substring(w, 1, 1)), "").alias("a"))
-    return _settled(nodes.where("kind = 'acronym'").select(F.col("form").alias("a")).join(full, "a").select("a", "b", "n"))
+    full = nodes.where("kind = 'org' AND form LIKE '% %'").select(F.col("form").alias("b"), "g", "n", F.array_join(F.transform(F.split("form", " "), lambda w: F.substring(w, 1, 1)), "").alias("a"))
+    return _settled(nodes.where("kind = 'acronym'").select(F.col("form").alias("a")).join(full, "a").select("a", "b", "g", "n"))
+
+
+def _order_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): organisations of the same words in another order."""
+    words = nodes.where("kind = 'org'").select("form", F.array_join(F.array_sort(F.split("form", " ")), " ").alias("words"))
+    first = words.groupBy("words").agg(F.min("form").alias("b"))
+    return words.join(first, "words").where("form <> b").select(F.col("form").alias("a"), "b")
 
 
 def components(links: DataFrame, rounds: int = 30) -> DataFrame:
@@ -345,9 +355,11 @@ def linked(frame: DataFrame, people: list[str], organisations: list[str], short_
     nodes = read.groupBy("kind", "form").agg(F.sum("n").alias("n"), F.max("complete").alias("complete"))
     nodes = nodes.withColumn("id", F.concat_ws(" ", "kind", "form"))
     tagged = lambda links, ka, kb: links.select(F.concat_ws(" ", F.lit(ka), "a").alias("a"), F.concat_ws(" ", F.lit(kb), "b").alias("b"))
-    people_ = nodes.where("kind = 'person'")
-    links = tagged(_typing_links(people_), "person", "person").unionByName(tagged(_typing_links(nodes.where("kind = 'org'")), "org", "org"))
-    links = links.unionByName(tagged(_initial_links(nodes), "person", "person")).unionByName(tagged(_acronym_links(nodes), "acronym", "org"))
+    typed = tagged(_typing_links(nodes.where("kind = 'person'")), "person", "person").unionByName(tagged(_typing_links(nodes.where("kind = 'org'")), "org", "org"))
+    typed = checkpointed(typed.unionByName(tagged(_order_links(nodes), "org", "org")))
+    groups = components(typed).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    nodes = checkpointed(nodes.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id")))
+    links = typed.unionByName(tagged(_initial_links(nodes), "person", "person")).unionByName(tagged(_acronym_links(nodes), "acronym", "org"))
     parts = components(links)
     each = read.withColumn("id", F.concat_ws(" ", "kind", "form")).join(parts, F.col("id") == F.col("node"), "left")
     return each.select("spelling", "n", "kind", F.coalesce("component", "id").alias("entity"))
