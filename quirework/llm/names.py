@@ -260,7 +260,7 @@ def given_names(names: DataFrame, short: DataFrame | None = None, least: int = 5
     rows = scored.where(f"first >= {least} AND first >= 3 * last").select("t").limit(LEXICON_BOUND + 1).collect()
     if len(rows) > LEXICON_BOUND:
         raise ValueError("more given names than LEXICON_BOUND")
-    return frozenset(r.t for r in rows) - PARTICLES
+    return frozenset(r.t.replace("-", "") for r in rows) - PARTICLES
 
 
 def forms(names: DataFrame, given: frozenset[str], short: dict[str, str]) -> DataFrame:
