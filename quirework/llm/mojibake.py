@@ -124,6 +124,8 @@ def states() -> tuple[State, ...]:
 
 #: signs that also stand in clean text beside garbled letters
 _SIGNS = frozenset("“”„«»–—…’‘•\xa0\u3000\u2003")
+#: signs that any text may hold, however rare they were in training
+_SYMBOLS = frozenset("¡¢£¤¥§©«®°±²³¶·¹»¼½¾¿×÷№€™†‡…–—“”„‘’•") | {chr(c) for c in range(0x2500, 0x25A0)}
 _NONE: frozenset = frozenset()
 
 
@@ -298,6 +300,8 @@ class Model:
                 one = (self.uni.get(gram[2], 0) + 0.5) / (self.total + 5e4) if not gram[2].isascii() else 0.03
                 two = (self.bi.get(gram[1:], 0) + self.alpha * one) / (self.ctx1.get(gram[1], 0) + self.alpha)
                 got = math.log((self.tri.get(gram, 0) + self.alpha * two) / (self.ctx.get(gram[:2], 0) + self.alpha))
+            if gram[2] in _SYMBOLS:
+                got = max(got, -5.0)
             self.logs[gram] = got
         return got
 

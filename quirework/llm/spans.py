@@ -122,9 +122,9 @@ def factors(a: str, b: str, hits: list[tuple[int, int]], min_length: int) -> lis
     return out
 
 
-def _meetings(rows: DataFrame) -> DataFrame:
+def _meetings(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
     """(ca, cb, pa, pb, sure) of the pairs of classes, smaller first, that have a hash in common."""
-    b = rows.select("h", F.col("c").alias("cb"), F.col("p").alias("pb"), F.col("w").alias("wb"))
+    b = (rows if others is None else others).select("h", F.col("c").alias("cb"), F.col("p").alias("pb"), F.col("w").alias("wb"))
     return rows.select("h", F.col("c").alias("ca"), F.col("p").alias("pa"), "w").join(b, "h").where("ca < cb").select("ca", "cb", "pa", "pb", (F.col("w") == F.col("wb")).alias("sure"))
 
 
@@ -183,9 +183,15 @@ class SharedSpans:
                         if len(starts):
                             yield pd.DataFrame({"h": h[starts].view(np.int64), "c": c, "p": starts.astype(np.int32)})
 
-            around = self._some(crowds).join(crowds, "c").mapInPandas(windows, "h long, c long, p int").groupBy("h", "c").agg(F.min("p").alias("p")).repartition("h")
+            every = self._some(crowds).join(crowds, "c").mapInPandas(windows, "h long, c long, p int").withColumn("w", F.lit(0).cast("bigint"))
+            around = every.groupBy("h", "c").agg(F.min("p").alias("p"), F.min("w").alias("w")).repartition("h")
             equal = around.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-            met = met.unionByName(_meetings(around.join(equal, "h").withColumn("w", F.lit(0).cast("bigint"))))
+            around = around.join(equal, "h")
+            if prove:
+                met = met.unionByName(_meetings(around))
+            else:  # a text may hold a window often: every place of one text meets the first of the other
+                every = every.distinct().join(equal, "h")
+                met = met.unionByName(_meetings(every, around)).unionByName(_meetings(around, every))
         hit = F.struct("pa", "pb")
         return met.groupBy("ca", "cb").agg(F.max("sure").alias("sure"), F.collect_set(F.when(~F.col("sure"), hit) if prove else hit).alias("hits"))
 
