@@ -167,8 +167,10 @@ class SharedSpans:
     def _candidates(self, prove: bool) -> DataFrame:
         """(ca, cb, sure, hits): pairs of classes with a common anchor; with ``prove`` hits are kept only where the anchor's hash is no proof."""
         least = self.min_length
-        found = self.anchors().repartition("h")  # one exchange serves the count and the join
-        shared = found.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b")
+        found = self.anchors().repartition("h")
+        # the count reads all columns (the last two tests always hold), so that its exchange is the join's and anchors are found once
+        counted = found.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n"), F.max("p").alias("p"), F.max("w").alias("w"))
+        shared = counted.where("a <> b AND p >= 0 AND w IS NOT NULL")
         rows = checkpointed(found.join(shared.select("h", (F.col("n") > CROWD).alias("crowded")), "h").distinct())
         met = _meetings(rows.where("NOT crowded"))
         if not rows.where("crowded").isEmpty():
