@@ -77,6 +77,9 @@ class Book:
             raise opf.BookError("ChapterError", "Chapter index out of bounds")
         return chapters[number]
 
+    def get_chapters_text_json(self) -> str:
+        return self.get_chapters_text()
+
     def get_chapter_text(self, number: int) -> str:
         return self.get_chapter(number)["content"]
 
@@ -96,6 +99,8 @@ class Book:
     def total_char_count(self) -> int:
         return sum(c["char_count"] for c in self.extract_chapters())
 
+    get_total_word_count, get_total_char_count = total_word_count, total_char_count
+
     def has_cover(self) -> bool:
         return self.get_metadata()["has_cover"]
 
@@ -124,6 +129,8 @@ class Book:
             raise opf.BookError(row.error_kind if row is not None and row.error_kind else "MissingFile", name)
         return bytes(row.data)
 
+    get_resource = read_resource
+
     def read_file_to_writer(self, name: str, writer) -> int:
         return writer.write(self.read_resource(name))
 
@@ -148,9 +155,35 @@ class Book:
             raise opf.BookError(row.error_kind, href)
         return bytes(row.data)
 
+    get_chapter_resource = read_chapter_resource
+
     def get_chapter_resource_json(self, number: int, href: str) -> str:
         return json.dumps(list(self.read_chapter_resource(number, href)))
 
+    def page_number(self, wanted, current: int = 0) -> int:
+        """A chapter number within bounds: what isn't a number stays where it is, the ends hold."""
+        try:
+            wanted = int(wanted)
+        except (TypeError, ValueError):
+            wanted = current
+        return max(0, min(wanted, len(self.extract_chapters()) - 1))
+
+    def rendered(self, number: int) -> str:
+        """Safe markup of a chapter with its styles; paragraphs of its text where it has no tree."""
+        from html import escape
+
+        from quirework.functions import html
+
+        chapter = self.get_chapter(number)
+        if not chapter["ast"]:
+            return "".join(f"<p>{escape(p)}</p>" for p in chapter["content"].split("\n"))
+        nodes, styles, stack = html.from_tree(chapter["ast"]), {}, [chapter["ast"]]
+        for i in range(len(nodes)):
+            node = stack.pop()
+            styles[i] = node.get("styles") or {}
+            stack.extend(reversed(node.get("children", ())))
+        return html.rendered(nodes, styles)
+
     def report(self) -> str:
         """A plain report of metadata, statistics and the beginning of the text."""
         errors, meta, texts = self.validate_metadata(), self.get_metadata(), self.extract_text_only()

@@ -236,3 +236,50 @@ def markup_text(spark, folder):
 def markup_text_scanner(spark, folder):
     """Plain text of chapters from markup by the scanner form, which runs in the JVM and leaves entities."""
     return _narrow(_pages(spark, folder).select("chapter_uid", F.md5(text.markup_text(F.col("html"))).alias("text_hash")))
+
+
+@query(
+    f"SELECT chapter_uid, t.tag, CAST(CASE WHEN t.tag = 'p' THEN len(string_split(content, chr(10))) ELSE 1 END AS BIGINT) AS n FROM {_CHAPTERS}, (VALUES ('html'), ('head'), ('style'), ('body'), ('p'), ('root')) t(tag) WHERE content IS NOT NULL"
+)
+def nodes_by_tag(spark, folder):
+    """Element nodes of every chapter's tree by tag."""
+
+    @F.pandas_udf("array<string>")
+    def tags(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            yield pd.Series([[n[2] for n in html.parse(x) if n[1] == "Element"] for x in batch])
+
+    each = _pages(spark, folder).select("chapter_uid", tags("html").alias("tags"), F.spark_partition_id().alias("part"))
+    # copies of a chapter can lie anywhere; each is counted whole and the distinct counts remain
+    counted = each.select("chapter_uid", F.explode(F.array_distinct("tags")).alias("tag"), "tags")
+    return counted.select("chapter_uid", "tag", F.size(F.filter("tags", lambda t: t == F.col("tag"))).cast("bigint").alias("n")).distinct()
+
+
+@query(
+    "WITH m AS (SELECT DISTINCT book_id, href FROM manifest_items), t AS (SELECT book_id, chapter_index, min(chapter_href) AS chapter_href FROM toc_entries GROUP BY ALL), "
+    "w AS (SELECT book_id, 0 AS chapter_index, href || '#x' AS href, href || '#x' AS path FROM m UNION SELECT book_id, 0, './a/../' || href || '#x#y', href || '#x' FROM m UNION SELECT book_id, 0, ' mailto:' || href || ' ', 'mailto:' || href FROM m) "
+    "SELECT w.book_id, CAST(w.chapter_index AS BIGINT) AS chapter_index, w.href, w.path, CAST(NULL AS VARCHAR) AS error_kind FROM w"
+)
+def resolved_links(spark, folder):
+    """Links of three kinds to every manifest item, resolved by what the book holds: written as it is, roundabout, and external."""
+    names = table(spark, folder, "manifest_items", "book_id", F.col("href").alias("entry_path")).distinct()
+    chapters = table(spark, folder, "toc_entries", "book_id", "chapter_index", "chapter_href").groupBy("book_id", "chapter_index").agg(F.min("chapter_href").alias("chapter_href"))
+    forms = F.array(F.concat("entry_path", F.lit("#x")), F.concat(F.lit("./a/../"), "entry_path", F.lit("#x#y")), F.concat(F.lit(" mailto:"), "entry_path", F.lit(" ")))
+    wanted = names.select("book_id", F.lit(0).cast("bigint").alias("chapter_index"), F.explode(forms).alias("href"))
+    return library.resolve_links(wanted, names, chapters)
+
+
+@query(f"SELECT chapter_uid, CASE WHEN error_kind IS NULL THEN 'read' WHEN error_kind = 'MissingFile' THEN 'missing' ELSE 'damaged' END AS state, error_kind IS NULL AS in_skip, error_kind IS NULL OR error_kind = 'MissingFile' AS in_report FROM {_CHAPTERS}")
+def chapter_policies(spark, folder):
+    """Which chapters the error policies keep: skip only readable ones, report also missing ones."""
+    rows = _chapters(spark, folder, "error_kind")
+    read, missing = F.col("error_kind").isNull(), F.coalesce(F.col("error_kind") == "MissingFile", F.lit(False))
+    return rows.select("chapter_uid", F.when(read, "read").when(missing, "missing").otherwise("damaged").alias("state"), read.alias("in_skip"), (read | missing).alias("in_report"))
+
+
+@query("SELECT book_id, item_id, coalesce(CASE lower(regexp_extract(href, '\\.([A-Za-z]+)$', 1)) WHEN 'png' THEN 'image/png' WHEN 'gif' THEN 'image/gif' WHEN 'webp' THEN 'image/webp' WHEN 'svg' THEN 'image/svg+xml' END, 'image/jpeg') AS mime, "
+       "regexp_replace(regexp_extract(href, '[^/]*$'), '(.)\\.[^.]*$', '\\1') AS stem, starts_with(href, 'http') AS external FROM (SELECT DISTINCT book_id, item_id, href FROM manifest_items)")
+def resource_names(spark, folder):
+    """Image type and file stem that a manifest item's link tells, and whether it leads out of the book."""
+    items = table(spark, folder, "manifest_items", "book_id", "item_id", "href").distinct()
+    return items.select("book_id", "item_id", text.image_type(F.col("href")).alias("mime"), text.file_stem(F.col("href")).alias("stem"), links.is_external(F.col("href")).alias("external"))

@@ -129,6 +129,8 @@ def test_facade(spark, tmp_path):
     assert book.total_word_count() > 0 and len(book.get_toc()) == 3 and book.get_chapter(1)["ast"]["tag"] == "root"
     assert json.loads(book.get_cover_image_json()) == [137, 80, 78, 71] and "A Book" in book.report()
     assert book.resolve_chapter_resource_path(2, "../c1.xhtml") == "OEBPS/c1.xhtml"
+    assert "color: blue" in book.rendered(1) and book.page_number("x", 1) == 1 and book.page_number(99) == 2 and book.page_number(-4) == 0
+    assert book.get_total_word_count() == book.total_word_count() and book.get_resource("mimetype") == b"application/epub+zip"
     with pytest.raises(opf.BookError):
         book.get_chapter(7)
     late = Book(spark, b"nothing")  # opening never fails, reading does
