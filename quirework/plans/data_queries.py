@@ -31,7 +31,7 @@ def p4_values(spark: SparkSession, folder: str) -> DataFrame:
 def _dated(spark: SparkSession, folder: str) -> DataFrame:
     books = table(spark, folder, "epub_metadata", "harvest_id", "feed_id", "publication_date", "harvested_at", "ingested_at")
     feeds = table(spark, folder, "feeds", "feed_id", F.col("tz").alias("feed_tz"), "date_order")
-    return spread(books.where("publication_date IS NOT NULL"), "harvest_id").join(F.broadcast(feeds), "feed_id", "left")
+    return spread(books.where("publication_date IS NOT NULL"), "harvest_id").join(feeds, "feed_id", "left")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,7 +41,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     """
     dated = _dated(spark, folder)
     guessed = estimate_zones(dated.where("feed_tz IS NULL"), "feed_id", "publication_date", "ingested_at", order="date_order")
-    dated = dated.join(F.broadcast(guessed.select("feed_id", F.col("tz").alias("guess"))), "feed_id", "left")
+    dated = dated.join(guessed.select("feed_id", F.col("tz").alias("guess")), "feed_id", "left")
     forms = normalise_dates(dated, "publication_date", "date_order", F.coalesce("feed_tz", "guess"))
     return forms.where("normal_form <> publication_date").select("harvest_id", "normal_form").distinct()
 
