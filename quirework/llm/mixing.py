@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS = 4096
+MOST_SOURCES = 10_000
 
 
 def uniform(key: Column, seed: int) -> Column:
@@ -47,12 +48,12 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 0, total: int | None
     """
     records = records.select("id", "source", F.greatest(F.coalesce(F.col("n"), F.lit(0)), F.lit(0)).cast("bigint").alias("n"), F.greatest(F.coalesce(F.col("weight"), F.lit(1.0)), F.lit(1e-6)).alias("weight")).dropDuplicates(["id"])
     targets = targets.where("source IS NOT NULL AND target_share > 0").select("source", "target_share", "max_repeats").dropDuplicates(["source"])
+    if targets.limit(MOST_SOURCES + 1).count() > MOST_SOURCES:  # the plan of the sources is broadcast
+        raise ValueError(f"more than {MOST_SOURCES} target sources")
     have = totals(records, targets)
-    reach = have.where("tokens > 0").agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share")).alias("most"))
-    most = F.least(F.col("most"), F.lit(float(total))) if total is not None else F.col("most")
-    plan = have.crossJoin(F.broadcast(reach)).select(  # one row beside the few of targets
-        "source", "target_share", "max_repeats", "tokens", F.when(F.col("tokens") > 0, F.floor(most * F.col("target_share"))).otherwise(0).cast("bigint").alias("budget")
-    )
+    reach = have.where("tokens > 0").agg(F.min(F.col("tokens") * F.col("max_repeats") / F.col("target_share"))).first()[0] or 0.0
+    most = F.lit(float(reach if total is None else min(reach, total)))
+    plan = have.withColumn("budget", F.when(F.col("tokens") > 0, F.floor(most * F.col("target_share"))).otherwise(0).cast("bigint"))
     plan = plan.withColumn("epochs", F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0).cast("int")).withColumn("part", F.col("budget") - F.col("epochs") * F.col("tokens"))
     u = uniform(F.col("id"), seed)
     keyed = records.join(F.broadcast(plan.select("source", "epochs", "part")), "source").withColumn("key", -F.log(u) / F.col("weight"))
@@ -67,9 +68,9 @@ def mix(records: DataFrame, targets: DataFrame, seed: int = 0, total: int | None
     )
     selected = chosen.select("id", "source", "n", (F.col("epochs") + F.coalesce(F.col("more").cast("int"), F.lit(0))).alias("repeats")).where("repeats > 0")
     used = selected.groupBy("source").agg(F.sum(F.col("n") * F.col("repeats")).alias("mixed_tokens"))
-    all_ = used.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    report = plan.join(F.broadcast(used), "source", "left").crossJoin(F.broadcast(all_)).select(
-        "source", "target_share", "tokens", "budget", F.coalesce("mixed_tokens", F.lit(0)).cast("bigint").alias("mixed_tokens"),
-        (F.coalesce("mixed_tokens", F.lit(0)) / F.greatest(F.coalesce("all_tokens", F.lit(1)), F.lit(1))).alias("actual_share"), "epochs", "max_repeats",
-    )
+    each = plan.join(F.broadcast(used), "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)).cast("bigint"))
+    each = each.withColumn("all_tokens", F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1))))  # at most MOST_SOURCES rows
+    report = each.select(
+        "source", "target_share", "tokens", "budget", "mixed_tokens", (F.col("mixed_tokens") / F.greatest("all_tokens", F.lit(1))).alias("actual_share"), "epochs", "max_repeats"
+    )
     return selected, report
