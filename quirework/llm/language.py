@@ -31,7 +31,7 @@ SAMPLE_TEXTS = 100
 DICTIONARY_BYTES = 32_000
 SHARED_BYTES = 8_000
 LEVEL = 1
-BLOCK = 12
+BLOCK = 16
 #: a block stays with the language at hand if all others together need this many times its size
 CLEAR = 1.2
 #: a language is accepted for a block if it saves this share of the second one's size, and compresses to this share of the block
