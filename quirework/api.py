@@ -13,7 +13,10 @@ from quirework.operators.library import METADATA, Library
 class Book:
     """One book, opened lazily: nothing is read before the first question, and answers are kept."""
 
-    def __init__(self, spark: SparkSession, source: str | bytes, name: str = "book.epub"):
+    def __init__(self, spark: SparkSession, source, name: str = "book.epub"):
+        """``source`` is a path, the archive's bytes, or anything with ``read()`` that gives them."""
+        if hasattr(source, "read"):
+            source = source.read()
         self._library = Library.read(spark, source, pattern=None) if isinstance(source, str) else Library.from_bytes(spark, [(name, source)])
         self._kept: dict = {}
 

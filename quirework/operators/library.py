@@ -237,6 +237,10 @@ class Library:
 
         return self.books.select("book_id", "content").mapInPandas(run, CHAPTERS)
 
+    def kept(self) -> Library:
+        """The same library with its books persisted, for several questions about one set; without it each question reads anew."""
+        return Library(self.books.persist())
+
     def texts(self) -> DataFrame:
         """(book_id, chapter_index, content)."""
         return self.chapters().select("book_id", "chapter_index", "content")

@@ -1,3 +1,4 @@
+import io
 import json
 import zipfile
 
@@ -6,8 +7,8 @@ from books import META, X, basic, container, package, page
 
 from quirework.api import Book
 from quirework.functions import opf
-from quirework.operators.library import Library, joined, resolved, styled_elements
-from quirework.sources.epub import write_archive
+from quirework.operators.library import Library, joined, link_targets, resolved, styled_elements
+from quirework.sources.epub import accepted, write_archive
 from quirework.streaming.folder import follow, write_chapters
 
 
@@ -119,6 +120,26 @@ def test_links_and_resources(spark):
     assert b"Hello" in data["../c1.xhtml#f"][0] and data["#q"][1] == "MissingFile" and data["img.png"][1] == "MissingFile"
 
 
+def test_link_targets_and_sinks(spark, tmp_path):
+    library = Library.from_bytes(spark, [("x.epub", basic(spine=("c1", "c2", "c1", "c3")))]).kept()
+    wanted = spark.createDataFrame([("x.epub", 3, h) for h in ("../c1.xhtml#f", "http://a", "../css/a.css", "#q")], "book_id string, chapter_index bigint, href string")
+    got = {r.path: r.chapter_index for r in link_targets(library.resolve(wanted), library.toc()).collect()}
+    assert got == {"OEBPS/c1.xhtml#f": 2, "OEBPS/css/a.css": None}  # of two entries of a file the later
+    library.write_resources(str(tmp_path / "out"), ["OEBPS/images/c.png"])
+    saved = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r.entry_path, r.size, bytes(r.data)) for r in saved] == [("OEBPS/images/c.png", 4, b"\x89PNG")]
+    assert accepted(library.books).count() == 1 and library.chapter(1).first().id == "c2"
+    with io.BytesIO(basic()) as reader:
+        assert Book(spark, reader).get_title() == "A Book"
+    library.books.unpersist()
+
+
+def test_scanner_text_and_entities_in_attributes(spark):
+    book = basic(files={"OEBPS/a&b.xhtml": page("<p>x &amp; y</p>", "")}, manifest=[("amp", "a&amp;b.xhtml", X, "")], spine=("amp",))
+    library = Library.from_bytes(spark, [("x", book)])
+    assert library.chapters().first().content == "x & y" and library.chapters(scanner=True).first().content == "x &amp; y"
+
+
 def test_facade(spark, tmp_path):
     path = tmp_path / "a.epub"
     path.write_bytes(basic(compress=False))
