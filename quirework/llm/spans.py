@@ -145,9 +145,15 @@ class SharedSpans:
         least = self.min_length
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            seen: set[int] = set()
             for batch in batches:
                 hs, cs, ps, ws = [], [], [], []
                 for c, text in zip(batch["c"], batch["text"]):
+                    if c in seen:  # a copy: a large group of copies sends its anchors once a task
+                        continue
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(c)
                     at, h = anchors(text, least)
                     wide = window_hashes(text, least)
                     start = at - (least - GRAM) // 2
