@@ -32,8 +32,8 @@ DICTIONARY_BYTES = 32_000
 SHARED_BYTES = 8_000
 LEVEL = 1
 BLOCK = 16
-#: a block stays with the language at hand if all others together need this many times its size
-CLEAR = 1.2
+#: a block stays with the language at hand if it compresses to this share of its size, or if all others together need this many times its size
+GOOD, CLEAR = 0.6, 1.2
 #: a language is accepted for a block if it saves this share of the second one's size, and compresses to this share of the block
 MARGIN, WORTH = 0.06, 0.92
 
@@ -135,6 +135,9 @@ class Detector:
             if current is not None:
                 own, rest = made[current]
                 size = len(own(block))
+                if size <= GOOD * len(block):  # no other language comes near that
+                    out.append((current, 1 - size / len(block), [current]))
+                    continue
                 other = len(rest(block)) if rest else len(block)
                 if other >= CLEAR * size and size <= WORTH * len(block):
                     out.append((current, (other - size) / other, [current]))
