@@ -4,7 +4,9 @@ A block of words belongs to the language whose raw-content dictionary compresses
 or whose margin over the second language is narrow, is rejected. Blocks are compared with the language at hand and with one
 dictionary of all the others first; only where that isn't clear are all languages tried. Neighbouring blocks of one language are a
 segment; its ends, and its length in words, are then settled word by word with the languages' vocabularies, which are
-built from the same sample as the dictionaries.
+built from the same sample as the dictionaries. A stretch that is too short to decide a block is found by its words: wherever
+words of another language's vocabulary that the text's main language lacks stand close together, that language is aligned too, and its
+stretches of ``STRETCH`` words or more are compressed on their own.
 
 Training (``train``) uses at most ``SAMPLE_TEXTS`` texts per language, chosen by hash among texts labelled with that one language,
 and drops those whose frequent words contradict the label; frequent words seed languages without a labelled text. Detection
@@ -36,6 +38,9 @@ BLOCK = 16
 GOOD, CLEAR = 0.6, 1.2
 #: a language is accepted for a block if it saves this share of the second one's size, and compresses to this share of the block
 MARGIN, WORTH = 0.06, 0.92
+#: a stretch inside a block of another language counts from this many words, of which ``stretches`` wants 0.3 beyond the main language's vocabulary
+STRETCH = 12
+DENSE, REACH = 4, 36  # so it has this many such words within this many (names between them included)
 
 # Languages: two-letter code, three-letter codes (ISO 639-2 and 639-3), English and native names.
 LANGUAGES = {
@@ -100,10 +105,10 @@ class Detector:
         self.known = frozenset().union(*self.vocabulary.values()) if counts else frozenset()
         self.content = {lang: " ".join([*seeds[lang], *(" ".join(own) for own in words[lang])]).encode()[-DICTIONARY_BYTES:] for lang in sorted(counts)}
         self._made: dict | None = None
-        self._last: str | None = None
+        self._whose: dict[str, tuple[str, ...]] | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_made": None, "_last": None}
+        return self.__dict__ | {"_made": None, "_whose": None}
 
     def _compressors(self) -> dict:
         if self._made is None:
@@ -128,7 +133,7 @@ class Detector:
 
     def blocks(self, words: list[str]) -> list[tuple[str | None, float, list[str]]]:
         """(language, confidence, candidates) of every block of ``BLOCK`` words; the last block takes a short rest."""
-        made, out, current = self._compressors(), [], self._last  # a guess only: it must beat all others on the block
+        made, out, current = self._compressors(), [], None  # a guess only: it must beat all others on the block
         starts = list(range(0, max(1, len(words) - BLOCK // 2 + 1), BLOCK))
         for at in starts:
             block = " ".join(words[at : at + BLOCK] if at != starts[-1] else words[at:]).encode()
@@ -154,7 +159,35 @@ class Detector:
             lang, saved, two = self.best(block)
             out.append((lang, saved, two))
             current = lang or current
-        self._last = current
+        return out
+
+    def foreign(self, low: list[str], home: str) -> dict[str, list[tuple[int, int]]]:
+        """For each language, (start, end) of the parts of a text where its words that the main language lacks stand close together."""
+        base, known = self.vocabulary[home], self.known
+        at = [i for i, w in enumerate(low) if w not in base and w in known]
+        if len(at) < DENSE:
+            return {}
+        if self._whose is None:
+            whose: dict[str, list[str]] = defaultdict(list)
+            for lang, words in self.vocabulary.items():
+                for w in words:
+                    whose[w].append(lang)
+            self._whose = {w: tuple(x) for w, x in whose.items()}
+        places: dict[str, list[int]] = defaultdict(list)
+        for i in at:
+            for x in self._whose[low[i]]:
+                places[x].append(i)
+        out: dict[str, list[tuple[int, int]]] = {}
+        for x, own in places.items():
+            parts: list[tuple[int, int]] = []
+            for a, b in zip(own, own[DENSE - 1 :]):
+                if b - a < REACH:
+                    if parts and a <= parts[-1][1]:
+                        parts[-1] = (parts[-1][0], b + 1)
+                    else:
+                        parts.append((a, b + 1))
+            if parts:
+                out[x] = parts
         return out
 
     def stretches(self, low: list[str], names: list[bool], lang: str, home: str) -> list[tuple[int, int, int]]:
@@ -189,7 +222,8 @@ class Detector:
         if not tally:
             return []
         home = tally.most_common(1)[0][0]
-        if len(tally) == 1 and all(lang == home and two == [home] for lang, _, two in blocks):
+        foreign = self.foreign(low, home)
+        if not foreign and len(tally) == 1 and all(lang == home and two == [home] for lang, _, two in blocks):
             n = sum(map(self.vocabulary[home].__contains__, low))
             if n >= 0.75 * len(low) and n >= 4 * BLOCK:  # one language throughout
                 return [(0, len(low), n, home, sum(b[1] for b in blocks) / len(blocks))]
@@ -202,17 +236,31 @@ class Detector:
             if lang:
                 sure[lang].append(saved)
         out = []
-        for lang, at in near.items():
+        for lang in [*near, *(x for x in foreign if x not in near)]:
+            at, parts = near.get(lang, ()), foreign.get(lang, ())
             confidence = sum(sure[lang]) / len(sure[lang]) if sure[lang] else 0.0
             for a, b, n in self.stretches(low, names, lang, home):
                 if n >= 3 and any(i in at for i in range(a // BLOCK, (b - 1) // BLOCK + 1)):
                     out.append((a, b, n, lang, confidence or min(s for l, s, two in blocks if lang in two)))
+                elif n >= STRETCH and any(x < b and a < y for x, y in parts):
+                    found, saved, _ = self.best(" ".join(low[a:b]).encode())
+                    if found == lang:
+                        out.append((a, b, n, lang, saved))
         out.sort(key=lambda s: (-s[2], s[0], s[3]))
-        taken, kept = [], []
-        for s in out:  # a word belongs to one segment: longer ones first, home-language leftovers inside others dropped
-            if not any(a < s[1] and s[0] < b for a, b in taken):
-                taken.append(s[:2])
-                kept.append(s)
+        kept: list[tuple[int, int, int, str, float]] = []
+        for a, b, n, lang, confidence in out:  # a word belongs to one segment: longer ones first, others lose the words at their ends that both languages have
+            start, end = a, b
+            for x, y, *_ in kept:
+                if x <= a < y:
+                    start = max(start, y)
+                if x < b <= y:
+                    end = min(end, x)
+            if any(x < end and start < y for x, y, *_ in kept):
+                continue
+            if (start, end) == (a, b):
+                kept.append((a, b, n, lang, confidence))
+            elif start < end and self.best(" ".join(low[start:end]).encode())[0] == lang:
+                kept.extend((start + i, start + j, m, lang, confidence) for i, j, m in self.stretches(low[start:end], names[start:end], lang, home) if m >= 3)
         return sorted(kept)
 
 

@@ -32,6 +32,21 @@ def test_short_stretch_is_its_length(detector):
     assert not got or got[0][2] <= 6
 
 
+@pytest.mark.parametrize("before", range(24, 24 + language.BLOCK))
+def test_stretch_across_blocks_is_found(detector, before):
+    words, stretch = EN.split() * 4, DE.split()[8:22]
+    got = [s for s in detector.segments(" ".join([*words[:before], *stretch, *words[before:]])) if s[3] == "de"]
+    assert len(got) == 1 and got[0][2] >= 12 and before - 1 <= got[0][0] and got[0][1] <= before + len(stretch) + 1
+
+
+def test_a_text_does_not_depend_on_the_one_before(detector):
+    mixed = f"{' '.join(FR.split()[:14])} {EN} {' '.join(DE.split()[:13])} {EN}"
+    alone = detector.segments(mixed)
+    for other in (EN, DE, FR):
+        detector.segments(other)
+        assert detector.segments(mixed) == alone
+
+
 def test_labels(spark):
     cases = {"en": "en", "EN": "en", "en_AU": "en", "ger": "de", "Deutsch": "de", "Türkçe": "tr", "pt-BR": "pt", "und": None, "mul": None, "": None, "N/A": None, " French ": "fr", "none": None, None: None, "русский": "ru", "english-ish": None}
     frame = spark.createDataFrame([(k,) for k in cases], "l string")
