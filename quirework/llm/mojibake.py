@@ -10,7 +10,8 @@ labelled span gets its state's inverse transform.
 The trigram model is counted over the whole corpus (``train``): Python workers count distinct tokens of their partition,
 emit trigram counts, and Spark sums them; only the model - trigrams seen at least ``min_share`` of all, a number bounded by
 1 / ``min_share`` - reaches the driver. Tokens that decode as UTF-8 under some pair are left out of the counts. ``label`` then reads
-each text once; a text without suspicious tokens costs a dictionary look-up per token.
+each text once; a line whose runs don't together reach the cost of entering a state can't have a better path than the clean one, and costs a
+dictionary look-up per run.
 
 Defined results: null, empty and pure ASCII texts -> no span; very long texts are labelled line by line; U+FFFD is garbled
 and not restorable (left in place); repeated rows give repeated results; an empty table gives an empty table.
@@ -148,7 +149,6 @@ _HINT = re.compile("[ÃÂâÐÑÎÏÅÄ][^\x00-\x7f]|[├╨╤╬ð√‚¬РС
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _SPACES = frozenset("\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") | {chr(c) for c in range(0x2000, 0x200B)}
 _MARKS = "“”„«»–—…’‘•.,;:!?\"'()"
-_SPLIT = re.compile(r"[ \t\n\r]+")
 _ENTITY = re.compile(r"&[A-Za-z]{2,8};")
 
 
@@ -283,7 +283,7 @@ class Model:
             self.uni[g[2]] += n
         self.total = sum(counts.values()) or 1
         self.alpha = max(3.0, 1e-4 * self.total)
-        self.verdicts: dict[str, bool] = {}
+        self.better: dict[tuple, tuple] = {}
         self.scores: dict[tuple, tuple] = {}
         self.logs: dict[str, float] = {}
 
@@ -359,22 +359,31 @@ class Model:
             return None
         return self.span(left, text, right) - (INNER if clean_chars else 0), text, clean_chars == 0
 
-    def suspicious(self, token: str) -> bool:
-        """Whether some pair explains a token better than clean text does, transitions included."""
-        got = self.verdicts.get(token)
+    def suspicious(self, line: str) -> bool:
+        """Whether the runs of a line together favour some pair enough to enter its state; where not, no path beats the clean one.
+
+        A path pays ``enter`` for each stretch in a state, so one that wins has a stretch whose runs gain more than that.
+        """
+        if LOST in line:
+            return True
+        text = unescaped(line) if "&" in line else line
+        gains: dict[int, float] = {}
+        for m in _RUN.finditer(text):
+            for k, gain in self.gains(*_context(text, m)):
+                gains[k] = gains.get(k, 0.0) + gain
+        table = states()
+        return any(gain >= table[k].enter for k, gain in gains.items())
+
+    def gains(self, left: str, run: str, right: str) -> tuple[tuple[int, float], ...]:
+        """(state, margin over the clean state) of the states that explain a run better than clean text does."""
+        key = (left, run, right)
+        got = self.better.get(key)
         if got is None:
-            if len(self.verdicts) > 400_000:
-                self.verdicts.clear()
-            got = LOST in token
-            if not got:
-                text = unescaped(token)
-                margin: Counter = Counter()
-                for m in _RUN.finditer(text):
-                    clean, found = self.run(*_context(text, m))
-                    for k, score, _, _ in found:
-                        margin[k] += score - clean
-                got = any(v > states()[k].enter - 1.5 for k, v in margin.items())
-            self.verdicts[token] = got
+            clean, found = self.run(*key)
+            got = tuple((k, score - clean) for k, score, _, _ in found if score > clean)
+            if len(self.better) > 200_000:
+                self.better.clear()
+            self.better[key] = got
         return got
 
     def label(self, line: str) -> tuple[str, list[tuple[int, int, str]]]:
@@ -428,12 +437,9 @@ class Model:
         """(restored text, spans (line, start, end, state)) of one field."""
         if text is None or (text.isascii() and "&" not in text):
             return text, []
-        tokens = text.split() if _SPACES.isdisjoint(text) else _SPLIT.split(text)
-        if not any(self.suspicious(t) for t in tokens if not t.isascii() or "&" in t and _ENTITY.search(t)):
-            return text, []
         lines, spans = text.split("\n"), []
         for n, line in enumerate(lines):
-            if line.isascii() and "&" not in line:
+            if line.isascii() and not ("&" in line and _ENTITY.search(line)) or not self.suspicious(line):
                 continue
             lines[n], found = self.label(line)
             spans.extend((n, *s) for s in found)

@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -34,6 +36,20 @@ def test_single_byte_round_trip(counts, text, right):
     assert spans and sum(a == b for a, b in zip(restored, text)) > 0.9 * len(text)
 
 
+def test_no_line_is_refused_before_viterbi():
+    # so few texts that single tokens give weak evidence
+    model, lines = m.Model(Counter(g for t in CLEAN for w in t.split() for g in m.grams(w) for _ in range(20))), 0
+    for right, wrong in m.SINGLE_BYTE:
+        for text in CLEAN:
+            words = [w for w in text.split() if not w.isascii()]
+            for n in range(1, len(words) + 1):
+                line = "".join(m.byte_to_char(wrong).get(b, "?") if b > 127 else chr(b) for b in " ".join(words[:n]).encode(right, "ignore"))
+                restored, spans = model.label(line)
+                lines += bool(spans)
+                assert model.restore(line) == (restored, [(0, *s) for s in spans])
+    assert lines > 100
+
+
 def test_twice_entities_and_lost(counts):
     model = m.Model(counts)
     twice = read_as(read_as(CLEAN[0], "cp1252"), "cp1252")
