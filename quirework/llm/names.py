@@ -6,8 +6,10 @@ surname; the words of an organisation with its abbreviations undone. Spellings o
     tokens, meets every token at one edit (also a lost space: neighbouring tokens are indexed joined); the meeting is then verified;
   - by aligning tokens where a form has initials, abbreviations or short given names: an optimal assignment of the tokens of two forms of
     the same surname and number of tokens in which initials match names they begin and abbreviations their full forms;
+  - by leaving out middle names: a name whose given names are some of a longer one's, the first among them, in the same order;
   - by acronym, for organisations.
-A form whose initials fit several names is linked to the one that has most of the records that fit, if it has most of them.
+A form whose initials fit several names is linked to the one that has most of the records that fit, if it has most of them; a form
+without middle names likewise, where its own records count against the link.
 Links of forms are closed to components by label propagation; every step is a join on keys, and spellings, not rows, are joined.
 
 Defined results: null and blank names and elements that hold several names are left out; spellings are compared exactly, without white
@@ -201,6 +203,14 @@ def assignment(a: list[str], b: list[str]) -> float | None:
     return best.get((1 << len(b)) - 1)
 
 
+def without_middle(a: list[str], b: list[str]) -> bool:
+    """Whether given names ``a`` are those of ``b`` without one or more middle names: the first ones agree, the others stand in ``b`` in the same order."""
+    if not 0 < len(a) < len(b) or assignment(a[:1], b[:1]) is None:
+        return False
+    rest = iter(b[1:])
+    return all(any(assignment([x], [y]) is not None for y in rest) for x in a[1:])
+
+
 def deletions(tokens: list[str]) -> list[tuple[str, str]]:
     """(key, token) of the symmetric-delete index: other tokens with their places, and the token with at most one character deleted."""
     out = set()
@@ -315,6 +325,26 @@ def _initial_links(nodes: DataFrame) -> DataFrame:
     return _settled(left.join(right, ["surname", "k", "i"]).withColumn("cost", cost("a", "b")).where("cost IS NOT NULL AND a <> b").select("a", "b", "g", "n"))
 
 
+def _middle_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): person forms without middle names, and a form of the longer name that has more records than they and all other longer ones that fit.
+
+    ``g`` is the group of a form by all other links. A form with initials is left to its group if that holds a name written out.
+    """
+    groups = nodes.where("kind = 'person'").groupBy("g").agg(F.sum("n").alias("own"), F.max("complete").alias("written"))
+    parts = nodes.where("kind = 'person' AND form LIKE '% %'").select("form", "g", "n", "complete", F.element_at(F.split("form", " "), -1).alias("surname"), F.size(F.split("form", " ")).alias("k"), F.substring("form", 1, 1).alias("i"))
+    left = parts.join(groups, "g").where("complete OR NOT written").select(F.col("form").alias("a"), F.col("g").alias("ga"), "own", "surname", F.col("k").alias("ka"), "i")
+    right = parts.where("k > 2").select(F.col("form").alias("b"), F.col("g").alias("gb"), "n", "surname", F.col("k").alias("kb"), "i")
+
+    @F.pandas_udf("boolean")
+    def fits(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([without_middle(x.split(" ")[:-1], y.split(" ")[:-1]) for x, y in zip(a, b)], dtype=bool)
+
+    met = left.join(right, ["surname", "i"]).where("ka < kb AND ga <> gb").where(fits("a", "b"))
+    each = met.select("ga", "own", "gb", "b", "n").distinct().groupBy("ga", "own", "gb").agg(F.min("b").alias("b"), F.sum("n").alias("n"))
+    best = each.groupBy("ga", "own").agg(F.max_by("b", F.struct("n", "b")).alias("b"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most > 0.5 * (all + own)")
+    return met.select("a", "ga").distinct().join(best, "ga").select("a", "b")
+
+
 def _acronym_links(nodes: DataFrame) -> DataFrame:
     """(a, b): acronyms and the organisation whose words begin with their letters."""
     full = nodes.where("kind = 'org' AND form LIKE '% %'").select(F.col("form").alias("b"), "g", "n", F.array_join(F.transform(F.split("form", " "), lambda w: F.substring(w, 1, 1)), "").alias("a"))
@@ -360,7 +390,10 @@ def linked(frame: DataFrame, people: list[str], organisations: list[str], short_
     groups = components(typed).select(F.col("node").alias("id"), F.col("component").alias("g"))
     nodes = checkpointed(nodes.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id")))
     links = typed.unionByName(tagged(_initial_links(nodes), "person", "person")).unionByName(tagged(_acronym_links(nodes), "acronym", "org"))
-    parts = components(links)
+    links = checkpointed(links)
+    groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("g"))
+    nodes = checkpointed(nodes.drop("g").join(groups, "id", "left").withColumn("g", F.coalesce("g", "id")))
+    parts = components(links.unionByName(tagged(_middle_links(nodes), "person", "person")))
     each = read.withColumn("id", F.concat_ws(" ", "kind", "form")).join(parts, F.col("id") == F.col("node"), "left")
     return each.select("spelling", "n", "kind", F.coalesce("component", "id").alias("entity"))
 

@@ -57,6 +57,17 @@ def test_linking(spark):
     assert n.pairs(n.linked(frame.where("false"), ["authors"], ["publisher"], short)).count() == 0
 
 
+def test_dropped_middle_names(spark):
+    assert n.without_middle(["jane"], ["jane", "kim"]) and n.without_middle(["j."], ["jane", "k."]) and n.without_middle(["jane", "lee"], ["jane", "kim", "lee"])
+    assert not n.without_middle(["kim"], ["jane", "kim"]) and not n.without_middle(["jane", "kim"], ["jane", "kim"]) and not n.without_middle(["jane", "lee", "kim"], ["jane", "kim", "lee", "max"])
+    people = ["Jane Kim Doe"] * 3 + ["Doe, Jane", "Jane K. Doe"] + ["Max Lee Roe", "Max Kim Roe", "Max Roe"] + ["Bo Fox Law"] * 2 + ["Bo Law"] * 2 + ["Jane Kim Zimmer"] * 3 + ["John Zimmer", "J. Zimmer"]
+    frame = spark.createDataFrame([([p], None) for p in people], "authors array<string>, publisher string")
+    short = spark.createDataFrame([], "given string, short_form string")
+    got = {(r.spelling_a, r.spelling_b) for r in n.pairs(n.linked(frame, ["authors"], ["publisher"], short)).collect()}
+    doe = ["Doe, Jane", "Jane K. Doe", "Jane Kim Doe"]
+    assert got == {(a, b) for a in doe for b in doe if a < b} | {("J. Zimmer", "John Zimmer")}
+
+
 def test_components(spark):
     links = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(60)] + [("x", "y"), ("y", "x")], "a string, b string")
     got = {r.node: r.component for r in n.components(links).collect()}
