@@ -89,10 +89,9 @@ def line_statistics(lines: list[str], common: frozenset[str]) -> np.ndarray:
             continue
         pipes, tabs, semis = line.count("|") + line.count("│"), line.count("\t"), line.count(";")
         gaps = len(_GAP.findall(line)) if "  " in line or tabs else 0
-        few = words[:60]
-        odd = sum(not (w.islower() or w.isupper() or w[1:].islower()) or (len(w) > 2 and _VOWELS.isdisjoint(w.lower())) for w in few)
+        odd = sum(not (w.islower() or w.isupper() or w[1:].islower()) or (len(w) > 2 and _VOWELS.isdisjoint(w.lower())) for w in words)
         tokens = line.split()
-        top = Counter(line[:400].replace(" ", "")).most_common(1)[0][1] / min(n, 400) if letters < n * 0.5 else 0.1
+        top = Counter(line.replace(" ", "")).most_common(1)[0][1] / n if letters < n * 0.5 else 0.1
         bullet, number, quantity = bool(_BULLET.match(line)), bool(_NUMBER.match(line)), bool(_QUANTITY.match(line))
         leader = bool(_LEADER.search(line)) if ".." in line or ". ." in line or "__" in line else False
         numbers = line.count(",") if digits and _LAST_NUMBERS.search(line) else 0
@@ -107,7 +106,7 @@ def line_statistics(lines: list[str], common: frozenset[str]) -> np.ndarray:
         )
         shapes.append((shape, max(pipes, tabs, gaps, semis) if shape in ("pipe", "tab", "gap", "semi") else 0))
         rows.append([
-            *base, bullet, dash, number, quantity, share, mean, odd / max(1, len(few)), pipes, tabs, gaps, semis, leader, bool(_LAST_NUMBER.search(line)), numbers,
+            *base, bullet, dash, number, quantity, share, mean, odd / max(1, count), pipes, tabs, gaps, semis, leader, bool(_LAST_NUMBER.search(line)), numbers,
             reference, len(_CODE.findall(line)) / n, top, len(set(tokens)) / max(1, len(tokens)), statement, ruled, navigation, min(200, max(map(len, tokens))), mashed, at == 0,
         ])
     if not rows:

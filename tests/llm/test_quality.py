@@ -32,6 +32,13 @@ def test_hand_checked_kinds(trees):
         assert q.KINDS[np.bincount(votes, minlength=4).argmax()] == kind, text
 
 
+def test_long_lines_are_read_to_their_end():
+    start, junk = "the sea was not calm and they had to go with you ; " * 6, "xQzw ####### " * 200
+    short, long, spaces = (q.line_statistics([t], COMMON)[0] for t in (start, start + junk, " " * 500 + "####"))
+    odd, top = q.STATISTICS.index("odd_words"), q.STATISTICS.index("top_character")
+    assert short[odd] < 0.05 and long[odd] > 0.7 and long[top] > 0.3 and 0 < spaces[top] < 0.1
+
+
 def test_statistics_column(spark, trees):
     rows = [(1, "The sea was not calm.\nThey had to go."), (2, None), (3, ""), (4, " \n\t\n"), (5, "word " * 40_000), (1, "The sea was not calm.\nThey had to go.")]
     frame = spark.createDataFrame(rows, "id int, t string")
