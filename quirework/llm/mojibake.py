@@ -30,6 +30,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.runtime import checkpointed
+
 LOST = "�"
 #: wrong readings of UTF-8 bytes, and (right, wrong) pairs of single-byte encodings
 UTF8_AS = ("cp1252", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "mac_roman", "cp437", "cp850", "cp866", "koi8_r")
@@ -227,14 +229,9 @@ def train(texts: DataFrame, column: str = "text", min_share: float = 1e-7) -> di
                 tokens = Counter()
         yield flush(tokens)
 
-    grams_ = texts.select(F.col(column).alias("text")).mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    total = grams_.agg(F.sum("n")).first()[0] if min_share <= 0 else None
-    rows = grams_.collect() if total is None else grams_.where(F.col("n") >= min_share * total).collect()
-    model = {r[0]: r[1] for r in rows}
-    if total is None and model:
-        least = min_share * sum(model.values())
-        model = {g: n for g, n in model.items() if n >= least}
-    return model
+    grams_ = checkpointed(texts.select(F.col(column).alias("text")).mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    total = grams_.agg(F.sum("n")).first()[0] or 0
+    return {r[0]: r[1] for r in grams_.where(F.col("n") >= min_share * total).collect()}
 
 
 def plain(text: str) -> str:

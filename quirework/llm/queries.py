@@ -100,7 +100,9 @@ def _segments(spark: SparkSession, folder: str) -> DataFrame:
     """(chapter_uid, book_id, segments) of every chapter with content; the detector is trained on the labelled ones."""
     chapters = table(spark, folder, "chapters", "chapter_uid", "book_id", "content").where("content IS NOT NULL")
     labels = _declared(spark, folder).where("size(declared) = 1").select("book_id", F.col("declared")[0].alias("label"))
-    frequent = [(r.lang, r.word) for r in table(spark, folder, "common_words", "lang", "word").where("lang IS NOT NULL AND word IS NOT NULL").limit(COMMON_WORDS_BOUND).collect()]
+    frequent = [(r.lang, r.word) for r in table(spark, folder, "common_words", "lang", "word").where("lang IS NOT NULL AND word IS NOT NULL").limit(COMMON_WORDS_BOUND + 1).collect()]
+    if len(frequent) > COMMON_WORDS_BOUND:
+        raise ValueError("common_words is larger than its bound")
     texts = language.sample(chapters.join(labels, "book_id"), chapters, "chapter_uid", "content", "label")
     detector = language.Detector(texts, frequent)
     return spread(chapters).select("chapter_uid", "book_id", language.segments(F.col("content"), detector).alias("segments"))

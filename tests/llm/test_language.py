@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from quirework.llm import language
+from quirework.llm import language, queries
 
 EN = "the house stood near the river and when the winter came the old painter closed every window because the wind from the mountain was cold and nobody walked along the road to the market anymore"
 DE = "das haus stand an dem fluss und als der winter kam schloss der alte maler jedes fenster weil der wind von den bergen kalt war und niemand mehr auf der strasse zum markt ging"
@@ -60,3 +60,12 @@ def test_column_and_sample(spark, detector):
     assert [label for label, _ in language.sample(frame.where("char_length(text) > 100").withColumn("text", F.repeat("text", F.lit(2))), frame, "id", "text", "label")] == ["en", "de"]
     assert language.sample(frame.where("false"), frame, "id", "text", "label") == []
     assert language.Detector([]).segments(EN) == []
+
+
+def test_too_many_common_words_are_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "COMMON_WORDS_BOUND", 2)
+    spark.createDataFrame([(i, i, EN) for i in range(3)], "chapter_uid long, book_id long, content string").write.parquet(f"{tmp_path}/chapters.parquet")
+    spark.createDataFrame([(1, None, 1, ["en"])], "book_id long, harvested_at timestamp, harvest_id long, languages array<string>").write.parquet(f"{tmp_path}/epub_metadata.parquet")
+    spark.createDataFrame([("en", w) for w in ("the", "and", "was")], "lang string, word string").write.parquet(f"{tmp_path}/common_words.parquet")
+    with pytest.raises(ValueError, match="bound"):
+        queries.p2_found(spark, str(tmp_path))

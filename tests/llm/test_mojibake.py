@@ -71,3 +71,12 @@ def test_column(spark, counts):
     assert got == [(1, CLEAN[0], True)] * 2 + [(2, None, False), (3, None, False), (4, None, False)]
     assert m.train(frame.where("false")) == {}
     assert m.Model({}).restore("café")[0] == "café"
+
+
+def test_only_frequent_trigrams_reach_the_driver(spark, monkeypatch):
+    texts = spark.createDataFrame([(t,) for t in CLEAN] + [(CLEAN[0],)] * 500, "text string")
+    every, sizes, frame = m.train(texts, min_share=0), [], type(texts)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: sizes.append(len(rows := collect(self))) or rows)
+    got = m.train(texts, min_share=0.01)
+    assert got == {g: n for g, n in every.items() if n >= 0.01 * sum(every.values())} and max(sizes) == len(got) <= 100 < len(every)
