@@ -1,8 +1,9 @@
 """Filling fixed-capacity containers by patterns fitted with non-negative least squares.
 
 Sizes are counted into ``BINS`` classes of the capacity, rounded up, so that a pattern of classes that fits holds any items of these
-classes. Small items are first joined to bundles of at most a quarter of the capacity. All full patterns of the classes that occur are
-enumerated, their repeat counts fitted to the histogram by non-negative least squares and rounded down; the same is done once more
+classes. Small items are first joined to bundles of at most a quarter of the capacity. The full patterns of the classes that occur are
+enumerated from the largest class down, at most ``patterns``' limit of 20,000 of them (where small classes occur there are more, and those of small classes only
+are then not offered to the fit; only the fill can suffer, every item is placed all the same), their repeat counts fitted to the histogram by non-negative least squares and rounded down; the same is done once more
 with every maximal pattern for what is left, and the rest is covered by patterns taken greedily from the remaining counts,
 until every count is zero. Only the histogram (at most ``BINS`` numbers a capacity) reaches the driver; which item goes where follows
 from the item's number within its class, which is computed by shards with summed offsets, never by sorting a class in one task.
