@@ -235,28 +235,36 @@ def train(texts: DataFrame, column: str = "text", min_share: float = 1e-7) -> di
 
 
 def plain(text: str) -> str:
-    """A quick reading for statistics: the text decoded by the UTF-8 pair that explains the most of it, if one explains much.
+    """A quick reading for statistics: the text decoded by the UTF-8 pair that explains the most of it, or only its garbled passages where that isn't much.
 
     No probabilities are involved; use ``Model.restore`` where the text itself matters.
     """
     if text.isascii() and "&" not in text or not _HINT.search(text):
         return text
     text = unescaped(text)
-    sample = _RUN.findall(text)
-    sample = sample[:: max(1, len(sample) // 50)]  # runs from all over the text tell the pair; all of it is decoded
-    best, most = None, 0
-    for state in states():
-        if state.utf8:
-            got = sum(1 for run in sample if state.unit(run, 0))
-            if got > most:
-                best, most = state, got
-    if best is None or most < 0.3 * len(sample):
+    runs = Counter(_RUN.findall(text))
+    likely = Counter({run: n for run, n in runs.items() if _HINT.match(run)})
+    # a pair that explains much of the text decodes all of it; else the best one for the runs that look garbled decodes those of them that it fits
+    for much, some in ((True, runs), (False, likely)):
+        best, most = None, 0
+        for state in states():
+            if state.utf8:
+                got = sum(n for run, n in some.items() if state.unit(run, 0))
+                if got > most:
+                    best, most = state, got
+        if best is not None and (not much or most >= 0.3 * sum(runs.values())):
+            break
+    if best is None:
         return text
 
     def decode(m: re.Match) -> str:
         run, out, i = m.group(), [], 0
+        if not much and run not in likely:
+            return run
         while i < len(run):
             u = best.unit(run, i)
+            if not (u or much or run[i] in _SIGNS):
+                return run  # clean text beside the garbled one
             out.append(u[0] if u else run[i])
             i += u[1] if u else 1
         return "".join(out)

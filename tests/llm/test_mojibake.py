@@ -73,6 +73,11 @@ def test_column(spark, counts):
     assert m.Model({}).restore("café")[0] == "café"
 
 
+def test_a_garbled_passage_of_a_clean_text_is_decoded():
+    clean = f"{CLEAN[0]} {CLEAN[3]} {CLEAN[4]} " * 20
+    assert m.plain(clean) == clean and m.plain(clean + read_as(CLEAN[6], "cp1252")) == clean + CLEAN[6]
+
+
 def test_only_frequent_trigrams_reach_the_driver(spark, monkeypatch):
     texts = spark.createDataFrame([(t,) for t in CLEAN] + [(CLEAN[0],)] * 500, "text string")
     every, sizes, frame = m.train(texts, min_share=0), [], type(texts)
