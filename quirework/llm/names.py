@@ -7,9 +7,12 @@ surname; the words of an organisation with its abbreviations undone. Spellings o
   - by aligning tokens where a form has initials, abbreviations or short given names: an optimal assignment of the tokens of two forms of
     the same surname and number of tokens in which initials match names they begin and abbreviations their full forms;
   - by leaving out middle names: a name whose given names are some of a longer one's, the first among them, in the same order;
+  - by one edit in the given name or surname of a name that is also shortened (initials, or middle names left out), by the same kind of index;
   - by acronym, for organisations.
 A form whose initials fit several names is linked to the one that has most of the records that fit, if it has most of them; a form
-without middle names likewise, where its own records count against the link.
+without middle names likewise, where those of its own records count against the link that write it out plainly ("Given Surname"): a
+name of its own is written so, a shortened one also in derived ways only (inverted, titled, upper case, a nickname, an initial).
+An edit is no link where both tokens are established: the rarer isn't rare beside the other, and chance alone would bring it together with the rest of the name.
 Links of forms are closed to components by label propagation; every step is a join on keys, and spellings, not rows, are joined.
 
 Defined results: null and blank names and elements that hold several names are left out; spellings are compared exactly, without white
@@ -30,6 +33,7 @@ from quirework.functions.packed import Grammar
 from quirework.runtime import checkpointed
 
 LEXICON_BOUND = 500_000  # given names that are shipped to the workers; more are an error
+RARE, CHANCE, PRIOR = 0.05, 0.1, 100  # see _typing_links; PRIOR forms are added to all, as chance can't be told from a handful
 
 TITLES = frozenset("dr prof mr mrs ms miss sir dame rev fr st saint lady lord".split())
 PARTICLES = frozenset("van de von der den del della di da la le du ten ter af av zu".split())
@@ -273,19 +277,30 @@ def given_names(names: DataFrame, short: DataFrame | None = None, least: int = 5
     return frozenset(r.t.replace("-", "") for r in rows) - PARTICLES
 
 
+def is_plain(text: str, tokens: list[str]) -> bool:
+    """Whether a person's name is written out plainly: given names and surname in this order, capitalised, without title, initial or short form."""
+    own = text.split(" ")
+    return len(own) > 1 and "," not in text and all(t[:1].isupper() and not t.isupper() or folded(t) in PARTICLES for t in own) and folded(own[0]).replace("-", "") == tokens[0] and not any(t.endswith(".") for t in own)
+
+
 def forms(names: DataFrame, given: frozenset[str], short: dict[str, str]) -> DataFrame:
-    """(spelling, n, kind, form, complete) of every spelling."""
+    """(spelling, n, kind, form, complete, plain) of every spelling."""
 
-    @F.pandas_udf("kind string, form string, complete boolean")
+    @F.pandas_udf("kind string, form string, complete boolean, plain boolean")
     def read(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for s, kind in batches:
-            yield pd.DataFrame([form(t, k, given, short) for t, k in zip(s, kind)], columns=["kind", "form", "complete"])
+            rows = [form(t, k, given, short) for t, k in zip(s, kind)]
+            yield pd.DataFrame([(*r, r[0] == "person" and r[2] and is_plain(t, r[1].split(" "))) for t, r in zip(s, rows)], columns=["kind", "form", "complete", "plain"])
 
-    return names.select("spelling", "n", read("spelling", "kind").alias("f")).select("spelling", "n", "f.kind", "f.form", "f.complete").where("form <> ''")
+    return names.select("spelling", "n", read("spelling", "kind").alias("f")).select("spelling", "n", "f.*").where("form <> ''")
 
 
-def _typing_links(nodes: DataFrame, common: int = 3) -> DataFrame:
-    """(a, b): forms of one kind that differ by one edit in one token, unless both tokens are established ones."""
+def _typing_links(nodes: DataFrame) -> DataFrame:
+    """(a, b): ids of forms of one kind that differ by one edit in one token, unless both tokens are established ones.
+
+    They are where the rarer token has at least ``RARE`` of the other's forms, and the number of forms in which chance would bring it together with the
+    other tokens (forms with it x forms with them / all forms) is at least ``CHANCE``; both are ratios, so the rule is the same at every size.
+    """
 
     @F.pandas_udf("array<struct<key string, token string>>")
     def index(form_: pd.Series) -> pd.Series:
@@ -295,13 +310,17 @@ def _typing_links(nodes: DataFrame, common: int = 3) -> DataFrame:
     def near(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([one_edit(x, y) or x == y for x, y in zip(a, b)], dtype=bool)
 
-    tokens = nodes.select("form", F.explode(F.array_distinct(F.split("form", " "))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    keyed = nodes.where("kind <> 'acronym'").select("form", "kind", F.explode(index("form")).alias("x")).select("form", "kind", "x.key", "x.token")
-    met = keyed.select("kind", "key", F.col("form").alias("a"), F.col("token").alias("ta")).join(keyed.select("kind", "key", F.col("form").alias("b"), F.col("token").alias("tb")), ["kind", "key"])
-    met = met.where("a < b").select("a", "b", "ta", "tb").distinct().where(near("ta", "tb"))
-    met = met.join(tokens.select(F.col("token").alias("ta"), F.col("df").alias("da")), "ta", "left").join(tokens.select(F.col("token").alias("tb"), F.col("df").alias("db")), "tb", "left")
+    named = nodes.where("kind <> 'acronym'")
+    tokens = named.select("kind", "form", F.explode(F.array_distinct(F.split("form", " "))).alias("token")).groupBy("kind", "token").agg(F.count("*").alias("df"))
+    keyed = named.select("id", "kind", F.explode(index("form")).alias("x")).select("id", "kind", "x.key", "x.token", F.substring_index("x.key", "#", 1).alias("context"))
+    around = keyed.where("key = concat(context, '#', token)").groupBy("kind", "context").agg(F.count("*").alias("dc"))
+    met = keyed.select("kind", "key", "context", F.col("id").alias("a"), F.col("token").alias("ta")).join(keyed.select("kind", "key", F.col("id").alias("b"), F.col("token").alias("tb")), ["kind", "key"])
+    met = checkpointed(met.where("a < b").select("kind", "a", "b", "ta", "tb", "context").distinct().where(near("ta", "tb")))
+    of = lambda c, n: tokens.select("kind", F.col("token").alias(c), F.col("df").alias(n))
+    met = met.join(of("ta", "da"), ["kind", "ta"], "left").join(of("tb", "db"), ["kind", "tb"], "left").join(around, ["kind", "context"], "left")
+    met = met.join(F.broadcast(nodes.groupBy("kind").agg((CHANCE * (F.count("*") + PRIOR)).alias("enough"))), "kind")  # one row a kind
     few, many = F.least(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0))), F.greatest(F.coalesce("da", F.lit(0)), F.coalesce("db", F.lit(0)))
-    return met.where((few < common) | (few < 0.05 * many)).select("a", "b").distinct()
+    return met.where((few < RARE * many) | (few * F.coalesce("dc", F.lit(0)) < F.col("enough"))).select("a", "b")
 
 
 def _settled(fits: DataFrame) -> DataFrame:
@@ -325,23 +344,64 @@ def _initial_links(nodes: DataFrame) -> DataFrame:
     return _settled(left.join(right, ["surname", "k", "i"]).withColumn("cost", cost("a", "b")).where("cost IS NOT NULL AND a <> b").select("a", "b", "g", "n"))
 
 
+def shortened(a: list[str], b: list[str]) -> bool:
+    """Whether name ``a`` is name ``b`` with one edit in the given name or the surname, and shortened: by initials or by leaving out middle names."""
+    if len(a) < 2 or len(b) < len(a) or len(a) == len(b) and not any(t.endswith(".") for t in a):
+        return False
+    if a[-1] == b[-1]:
+        if a[0].endswith(".") or min(len(a[0]), len(b[0])) < 4 or not one_edit(a[0], b[0]):
+            return False
+    elif min(len(a[-1]), len(b[-1])) < 5 or not one_edit(a[-1], b[-1]) or assignment(a[:1], b[:1]) is None:
+        return False
+    rest = iter(b[1:-1])
+    return all(any(assignment([x], [y]) is not None for y in rest) for x in a[1:-1])
+
+
+def edit_keys(tokens: list[str], left: bool) -> list[str]:
+    """Keys under which a shortened name with an edit (``left``) and a written-out one meet: given name and surname, one of them with at most one character deleted."""
+    first, last = tokens[0], tokens[-1]
+    cut = lambda t: {t, *(t[:k] + t[k + 1 :] for k in range(len(t)))}
+    out = {f"i {first[0]} {x}" for x in cut(last)} if len(last) > 4 and (first.endswith(".") or not left) else set()
+    if not first.endswith("."):
+        out |= {f"f {first} {x}" for x in cut(last)} if len(last) > 4 else set()
+        out |= {f"g {x} {last}" for x in cut(first)} if len(first) > 3 else set()
+    return sorted(out)
+
+
 def _middle_links(nodes: DataFrame) -> DataFrame:
-    """(a, b): person forms without middle names, and a form of the longer name that has more records than they and all other longer ones that fit.
+    """(a, b): person forms that are shortened, and a form of the longer name that has most of the records of all longer ones that fit.
 
-    ``g`` is the group of a form by all other links. A form with initials is left to its group if that holds a name written out.
+    ``g`` is the group of a form by all other links. Records of the group that write the short name out plainly count against leaving out middle names;
+    with an edit, the group must not have more records than the longer name. A form with initials is left to its group if that holds a name written out.
     """
-    groups = nodes.where("kind = 'person'").groupBy("g").agg(F.sum("n").alias("own"), F.max("complete").alias("written"))
+    groups = nodes.where("kind = 'person'").groupBy("g").agg(F.sum("n_plain").alias("own"), F.sum("n").alias("n_all"), F.max("complete").alias("written"))
     parts = nodes.where("kind = 'person' AND form LIKE '% %'").select("form", "g", "n", "complete", F.element_at(F.split("form", " "), -1).alias("surname"), F.size(F.split("form", " ")).alias("k"), F.substring("form", 1, 1).alias("i"))
-    left = parts.join(groups, "g").where("complete OR NOT written").select(F.col("form").alias("a"), F.col("g").alias("ga"), "own", "surname", F.col("k").alias("ka"), "i")
+    left = parts.join(groups, "g").where("complete OR NOT written").select(F.col("form").alias("a"), F.col("g").alias("ga"), "own", "n_all", "surname", F.col("k").alias("ka"), "i", "complete")
     right = parts.where("k > 2").select(F.col("form").alias("b"), F.col("g").alias("gb"), "n", "surname", F.col("k").alias("kb"), "i")
 
     @F.pandas_udf("boolean")
     def fits(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([without_middle(x.split(" ")[:-1], y.split(" ")[:-1]) for x, y in zip(a, b)], dtype=bool)
 
-    met = left.join(right, ["surname", "i"]).where("ka < kb AND ga <> gb").where(fits("a", "b"))
-    each = met.select("ga", "own", "gb", "b", "n").distinct().groupBy("ga", "own", "gb").agg(F.min("b").alias("b"), F.sum("n").alias("n"))
-    best = each.groupBy("ga", "own").agg(F.max_by("b", F.struct("n", "b")).alias("b"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most > 0.5 * (all + own)")
+    @F.pandas_udf("boolean")
+    def edited(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([shortened(x.split(" "), y.split(" ")) for x, y in zip(a, b)], dtype=bool)
+
+    @F.pandas_udf("array<string>")
+    def keys(form_: pd.Series, short_: pd.Series) -> pd.Series:
+        return pd.Series([edit_keys(f.split(" "), bool(x)) for f, x in zip(form_, short_)])
+
+    met = left.join(right, ["surname", "i"]).where("ka < kb AND ga <> gb").where(fits("a", "b")).select("a", "ga", F.col("own").alias("against"), "gb", "b", "n", F.lit(0).alias("edits"))
+    some = left.where("ka = 2 OR NOT complete").select("a", "ga", "n_all", "ka", F.explode(keys("a", F.lit(True))).alias("key"))
+    whole = parts.where("complete").select(F.col("form").alias("b"), F.col("g").alias("gb"), "n", F.explode(keys("form", F.lit(False))).alias("key"))
+    near = some.join(whole, "key").where("ga <> gb").select("a", "ga", "n_all", "gb", "b", "n").distinct().where(edited("a", "b"))
+    met = checkpointed(met.unionByName(near.select("a", "ga", F.col("n_all").alias("against"), "gb", "b", "n", F.lit(1).alias("edits"))))
+    each = met.groupBy("ga", "gb", "b").agg(F.max("n").alias("n"), F.min(F.struct("edits", "against")).alias("x")).groupBy("ga", "gb").agg(F.min("b").alias("b"), F.sum("n").alias("n"), F.min("x").alias("x"))
+    # names that fit without an edit come before those that need one
+    least = each.groupBy("ga").agg(F.min("x.edits").alias("edits"))
+    each = each.join(least, "ga").where("x.edits = edits").select("ga", "gb", "b", "n", "edits", F.col("x.against").alias("against"))
+    best = each.groupBy("ga").agg(F.max_by("b", F.struct("n", "b")).alias("b"), F.max("n").alias("most"), F.sum("n").alias("all"), F.max("against").alias("against"), F.max("edits").alias("edits"))
+    best = best.where("most > 0.5 * all AND CASE WHEN edits = 0 THEN most > 0.5 * (all + against) ELSE most >= against END").select("ga", "b")
     return met.select("a", "ga").distinct().join(best, "ga").select("a", "b")
 
 
@@ -358,8 +418,11 @@ def _order_links(nodes: DataFrame) -> DataFrame:
     return words.join(first, "words").where("form <> b").select(F.col("form").alias("a"), "b")
 
 
-def components(links: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, component): the smallest node of every node's component, by label propagation with path shortening."""
+def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, component): the smallest node of every node's component, by label propagation with path shortening; an error if ``rounds`` aren't enough.
+
+    Shortening halves the way to the smallest node in a round, so 60 rounds are more than any graph needs that can be stored.
+    """
     edges = checkpointed(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = checkpointed(edges.groupBy("a").agg(F.min(F.least("a", "b")).alias("l")).withColumnRenamed("a", "node"))
     for _ in range(rounds):
@@ -368,38 +431,42 @@ def components(links: DataFrame, rounds: int = 30) -> DataFrame:
         new = labels.join(near, "node").withColumn("l2", F.least("l", "m")).join(jump, "l").select("node", F.least("l2", "j").alias("l"), (F.least("l2", "j") < F.col("l")).alias("changed"))
         labels = checkpointed(new)
         if labels.where("changed").isEmpty():
-            break
+            return labels.select("node", F.col("l").alias("component"))
         labels = labels.drop("changed")
-    return labels.select("node", F.col("l").alias("component"))
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes with their groups ``g`` joined along links of node ids; only groups that a link touches are looked at."""
+    of = nodes.select("id", "g")
+    ends = links.join(of.select(F.col("id").alias("a"), F.col("g").alias("ga")), "a").join(of.select(F.col("id").alias("b"), F.col("g").alias("gb")), "b").where("ga <> gb").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
+    parts = components(ends).select(F.col("node").alias("g"), "component")
+    return checkpointed(nodes.join(parts, "g", "left").withColumn("g", F.coalesce("component", "g")).drop("component"))
 
 
 def linked(frame: DataFrame, people: list[str], organisations: list[str], short_forms: DataFrame) -> DataFrame:
     """(spelling, n, kind, entity): every single-name spelling with its entity (the smallest form of the component)."""
     names = checkpointed(spellings(frame, people, organisations))
-    rows = short_forms.select("given", "short_form").where("given IS NOT NULL AND short_form IS NOT NULL").limit(LEXICON_BOUND).collect()
+    rows = short_forms.select("given", "short_form").where("given IS NOT NULL AND short_form IS NOT NULL").limit(LEXICON_BOUND + 1).collect()
+    if len(rows) > LEXICON_BOUND:
+        raise ValueError("more short forms than LEXICON_BOUND")
     short: dict[str, str] = {}
     for r in sorted(rows, key=lambda r: (r.short_form, r.given)):
         short.setdefault(folded(r.short_form), folded(r.given))
     given = given_names(names) | frozenset(short) | frozenset(short.values())
     read = checkpointed(forms(names, given, short))
-    nodes = read.groupBy("kind", "form").agg(F.sum("n").alias("n"), F.max("complete").alias("complete"))
-    nodes = nodes.withColumn("id", F.concat_ws(" ", "kind", "form"))
+    nodes = read.groupBy("kind", "form").agg(F.sum("n").alias("n"), F.max("complete").alias("complete"), F.sum(F.when(F.col("plain"), F.col("n")).otherwise(0)).alias("n_plain"))
+    nodes = nodes.withColumn("id", F.concat_ws(" ", "kind", "form")).withColumn("g", F.col("id"))
     tagged = lambda links, ka, kb: links.select(F.concat_ws(" ", F.lit(ka), "a").alias("a"), F.concat_ws(" ", F.lit(kb), "b").alias("b"))
-    typed = tagged(_typing_links(nodes.where("kind = 'person'")), "person", "person").unionByName(tagged(_typing_links(nodes.where("kind = 'org'")), "org", "org"))
-    typed = checkpointed(typed.unionByName(tagged(_order_links(nodes), "org", "org")))
-    groups = components(typed).select(F.col("node").alias("id"), F.col("component").alias("g"))
-    nodes = checkpointed(nodes.join(groups, "id", "left").withColumn("g", F.coalesce("g", "id")))
-    links = typed.unionByName(tagged(_initial_links(nodes), "person", "person")).unionByName(tagged(_acronym_links(nodes), "acronym", "org"))
-    links = checkpointed(links)
-    groups = components(links).select(F.col("node").alias("id"), F.col("component").alias("g"))
-    nodes = checkpointed(nodes.drop("g").join(groups, "id", "left").withColumn("g", F.coalesce("g", "id")))
-    parts = components(links.unionByName(tagged(_middle_links(nodes), "person", "person")))
-    each = read.withColumn("id", F.concat_ws(" ", "kind", "form")).join(parts, F.col("id") == F.col("node"), "left")
-    return each.select("spelling", "n", "kind", F.coalesce("component", "id").alias("entity"))
+    nodes = checkpointed(nodes)
+    nodes = _merged(nodes, _typing_links(nodes).unionByName(tagged(_order_links(nodes), "org", "org")))
+    nodes = _merged(nodes, tagged(_initial_links(nodes), "person", "person").unionByName(tagged(_acronym_links(nodes), "acronym", "org")))
+    nodes = _merged(nodes, tagged(_middle_links(nodes), "person", "person"))
+    return read.join(nodes.select("kind", "form", "g"), ["kind", "form"]).select("spelling", "n", "kind", F.col("g").alias("entity"))
 
 
 def pairs(entities: DataFrame) -> DataFrame:
-    """(spelling_a, spelling_b), spelling_a < spelling_b by code points, of spellings of one entity."""
+    """(spelling_a, spelling_b), spelling_a < spelling_b by code points, of spellings of one entity: the expansion of ``linked``, which has one row a spelling."""
     a = entities.select("entity", F.col("spelling").alias("spelling_a"))
     b = entities.select("entity", F.col("spelling").alias("spelling_b"))
     return a.join(b, "entity").where("spelling_a < spelling_b").select("spelling_a", "spelling_b")
