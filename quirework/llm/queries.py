@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quirework.llm import language, mojibake, names
 from quirework.llm import text_quality as quality
 from quirework.llm.mixing import mix, quality_weight
-from quirework.llm.packing import pack
+from quirework.llm.packing import MOST_TARGETS, pack_all
 from quirework.llm.spans import SharedSpans
 from quirework.llm.tokens import VOCABULARY, count_tokens
 from quirework.runtime import checkpointed, spread, table
@@ -154,13 +154,8 @@ def _sizes(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY, weigh
 @query
 def p7_packed(spark: SparkSession, folder: str) -> DataFrame:
     """Documents in containers of every capacity: one row per document, or per piece of one that is larger than the capacity."""
-    sizes = _sizes(spark, folder)
-    packs = table(spark, folder, "pack_targets", "pack_name", "capacity_tokens").distinct().orderBy("pack_name").collect()  # a few rows by nature
-    out = None
-    for target in packs:
-        one = pack(sizes, "doc_id", "n", target.capacity_tokens).select(F.lit(target.pack_name).alias("pack_name"), "container", "doc_id", "piece", F.col("n").alias("n_tokens"))
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "pack_name string, container bigint, doc_id bigint, piece int, n_tokens bigint")
+    packs = table(spark, folder, "pack_targets", "pack_name", "capacity_tokens").where("pack_name IS NOT NULL AND capacity_tokens IS NOT NULL").distinct().orderBy("pack_name").limit(MOST_TARGETS + 1).collect()
+    return pack_all(_sizes(spark, folder), "doc_id", "n", [(r.pack_name, r.capacity_tokens) for r in packs]).withColumnRenamed("n", "n_tokens")
 
 
 @query

@@ -99,3 +99,33 @@ def test_tokens(spark):
 
     got = [r[0] for r in frame.select(tokens.count_tokens(F.col("t"))).collect()]
     assert got[:3] == [2, None, 0] and got[3] > 1 and got[4] > 100
+
+
+@pytest.mark.parametrize("histogram", [{k: 1000 + k * 37 % 50 for k in range(1, 65)}, {k: 100_000 // k for k in range(1, 17)}, {k: 500 for k in range(1, 35)}])
+def test_plan_fills_with_many_classes(histogram):
+    used = plan(histogram)
+    assert sum(k * n for k, n in histogram.items()) / (packing.BINS * sum(n for _, n in used)) > 0.995
+
+
+def test_priced_equals_brute_force():
+    rng = np.random.default_rng(1)
+    for least in (packing.BINS, packing.BINS - 1, 50):
+        bins, values = [31, 20, 17, 13], rng.normal(size=packing.BINS + 1)
+        every = packing.few_patterns(bins, least, 64)
+        assert len(set(every)) == len(every) and all(least <= sum(p) <= packing.BINS for p in every)
+        worth, pattern = packing.priced(values, bins, least)
+        if every:
+            assert pattern in every and abs(worth - max(sum(values[k] for k in p) for p in every)) < 1e-9
+        else:
+            assert worth == -np.inf and pattern == ()
+
+
+def test_pack_all_equals_single_packs(spark):
+    frame = spark.createDataFrame([(f"d{i}", (i * 7919) % 900) for i in range(1500)] + [(None, 5)], "doc string, tokens int")
+    rows = packing.pack_all(frame, "doc", "tokens", [("a", 256), ("b", 1000)]).collect()
+    for name, capacity in (("a", 256), ("b", 1000)):
+        alone = packing.pack(frame, "doc", "tokens", capacity).collect()
+        assert sorted((r.container, r.doc or "", r.piece, r.n) for r in rows if r.pack_name == name) == sorted((r.container, r.doc or "", r.piece, r.n) for r in alone)
+    assert packing.pack_all(frame, "doc", "tokens", []).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack_all(frame, "doc", "tokens", [("a", 1), ("a", 2)])
