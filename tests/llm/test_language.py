@@ -69,3 +69,21 @@ def test_too_many_common_words_are_an_error(spark, tmp_path, monkeypatch):
     spark.createDataFrame([("en", w) for w in ("the", "and", "was")], "lang string, word string").write.parquet(f"{tmp_path}/common_words.parquet")
     with pytest.raises(ValueError, match="bound"):
         queries.p2_found(spark, str(tmp_path))
+
+
+def test_every_language_has_its_codes_and_names(spark):
+    names = language.language_names()
+    cases = {"fi": "fi", "fin": "fi", "finnish": "fi", "suomi": "fi", "alb": "sq", "sqi": "sq", "zh": "zh", "chi": "zh", "zho": "zh", "chinese": "zh", "cymraeg": "cy", "wel": "cy", "dut": "nl", "gre": "el"}
+    assert {k: names.get(k) for k in cases} == cases and not {"mul", "und", "zxx", "mis"} & set(names) and len(set(names.values())) > 180
+
+
+def test_result_does_not_depend_on_partitions(spark, detector):
+    texts = [EN, DE, f"{EN} {DE}", f"{FR} {' '.join(DE.split()[:13])} {FR}", "", f"{DE} {EN} {FR}"] * 5
+    frame = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = [sorted((r.id, str(r.s)) for r in frame.repartition(k).select("id", language.segments(F.col("text"), detector).alias("s")).collect()) for k in (1, 3, 7)]
+    assert found[0] == found[1] == found[2]
+
+
+def test_texts_are_read_once_where_the_result_is_filtered(spark, detector):
+    frame = spark.createDataFrame([(1, EN)], "id int, text string").select("id", F.explode(language.segments(F.col("text"), detector)).alias("s")).where("s.n_words > 3")
+    assert frame._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
