@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.operators.packed_values import split_packed, vocabulary
-from quirework.operators.timestamps import estimate_zones, normalise_dates
+from quirework.operators.timestamps import estimate_zones, normalise_dates, same_history
 from quirework.runtime import spread, table
 
 
@@ -52,5 +53,27 @@ def p5_status(spark: SparkSession, folder: str) -> DataFrame:
     return forms.groupBy("feed_id", "date_status").agg(F.count("*").alias("n"))
 
 
-QUERIES = {"p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_status": p5_status}
+def p5_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """Every feed's zone as estimated with ``feeds.tz`` hidden, once from the local times of its harvests and once from its publication dates, beside the given one.
+
+    Harvests are written as their feed wrote them, in local time without a zone, in order of arrival and ingested later; publication dates
+    are taken as they are. ``agrees`` and ``publication_agrees`` tell whether the estimate has the given zone's offset history.
+    """
+    books = table(spark, folder, "epub_metadata", "harvest_id", "feed_id", "publication_date", "harvested_at", "ingested_at")
+    feeds = table(spark, folder, "feeds", "feed_id", "tz", "date_order")
+    rows = spread(books, "harvest_id").dropDuplicates(["harvest_id"]).join(feeds, "feed_id")
+    local = rows.withColumn("local", F.date_format(F.from_utc_timestamp("harvested_at", F.col("tz")), "yyyy-MM-dd HH:mm:ss"))
+    arrived = estimate_zones(local.drop("tz"), "feed_id", "local", "ingested_at", sequence="harvested_at", order="date_order")
+    written = estimate_zones(local.drop("tz"), "feed_id", "publication_date", "ingested_at", order="date_order")
+
+    @F.pandas_udf("boolean")
+    def same(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([same_history(x, y) for x, y in zip(a, b)], dtype=bool)
+
+    out = feeds.select("feed_id", "tz").join(arrived.select("feed_id", F.col("tz").alias("estimated"), "n_violations", "n_local"), "feed_id", "left")
+    out = out.join(written.select("feed_id", F.col("tz").alias("by_publication"), F.col("n_local").alias("n_publication")), "feed_id", "left")
+    return out.withColumn("agrees", same("tz", "estimated")).withColumn("publication_agrees", same("tz", "by_publication"))
+
+
+QUERIES = {"p5_zones": p5_zones, "p4_found": p4_found, "p4_values": p4_values, "p5_found": p5_found, "p5_status": p5_status}
 SQL: dict[str, str] = {}

@@ -1,11 +1,13 @@
 import datetime as dt
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quirework.functions.dates import parse_date
+from quirework.operators import timestamps
 from quirework.operators.timestamps import estimate_zones, normalise_dates
 
 
@@ -53,3 +55,44 @@ def test_zones_are_estimated_from_ingestion(spark):
     frame = spark.createDataFrame([*rows, (4, None, None), (4, "2020", dt.datetime(2022, 1, 1))], "g int, d string, at timestamp").withColumn("order", F.lit("dmy"))
     got = {r.g: (r.tz, r.n_violations) for r in estimate_zones(frame, "g", "d", "at").collect()}
     assert got == {1: ("America/New_York", 0), 2: ("Asia/Tokyo", 0), 3: ("Europe/Berlin", 0)}
+
+
+def test_instants_equal_zoneinfo():
+    import random
+
+    from quirework.functions.dates import to_utc, zone_of
+
+    rng = random.Random(1)
+    for name in ("Europe/Berlin", "America/New_York", "Australia/Sydney", "Asia/Kolkata", "America/Bogota", "Australia/Lord_Howe", "Asia/Kathmandu"):
+        zone = zone_of(name)
+        walls = [dt.datetime(2008, 1, 1) + dt.timedelta(seconds=rng.randrange(16 * 365 * 86400)) for _ in range(500)]
+        walls += [dt.datetime(2012, m, d, h, 30) for m, d in ((3, 11), (3, 25), (10, 28), (11, 4), (4, 1), (10, 7)) for h in (0, 1, 2, 3)]
+        first, last, skipped = timestamps.instants(np.array([int(w.replace(tzinfo=dt.timezone.utc).timestamp()) for w in walls]), timestamps._history_of(name))
+        for w, a, b, gap in zip(walls, first, last, skipped):
+            moment = to_utc(w, zone)
+            assert a == moment.timestamp() and gap == (moment.astimezone(zone).replace(tzinfo=None) != w)
+            assert gap or b == (w - w.replace(tzinfo=zone, fold=1).utcoffset()).replace(tzinfo=dt.timezone.utc).timestamp()
+
+
+def test_every_history_is_a_candidate():
+    zones = timestamps.histories()
+    assert len(zones) > 200 and all(any(timestamps.same_history(z, n) for n in zones) for z in ("Asia/Kathmandu", "America/St_Johns", "Pacific/Chatham", "Europe/Rome"))
+    assert timestamps.same_history("Europe/Rome", "Europe/Berlin") and not timestamps.same_history("Europe/Rome", None) and not timestamps.same_history("Europe/Rome", "Europe/Lisbon")
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_zones_are_told_by_order(spark, parts):
+    """Hourly local times in sequence: only the right change of the clocks never steps back and skips none; ingestion is days late."""
+    from zoneinfo import ZoneInfo
+
+    rows = []
+    for group, zone in ((1, "America/New_York"), (2, "Europe/Berlin"), (None, "Asia/Kathmandu")):
+        for hour in range(0, 24 * 330, 5):
+            at = dt.datetime(2022, 1, 1, 12, tzinfo=dt.timezone.utc) + dt.timedelta(hours=hour, minutes=30)
+            rows.append((group, hour, at.astimezone(ZoneInfo(zone)).strftime("%Y-%m-%d %H:%M"), (at + dt.timedelta(minutes=hour % 7)).replace(tzinfo=None) if hour % 3 else None, "clash"))
+    frame = spark.createDataFrame(rows, "g int, seq int, d string, at timestamp, w string").withColumn("order", F.lit("dmy")).repartition(parts)
+    got = {r.g: r for r in timestamps.estimate_zones(frame, "g", "d", "at", sequence="seq").collect()}
+    assert {g: (r.tz, r.n_violations, r.n_local) for g, r in got.items()} == {1: ("America/New_York", 0, 1584), 2: ("Europe/Berlin", 0, 1584), None: ("Asia/Kathmandu", 0, 1584)}
+    limited = timestamps.estimate_zones(frame.where("g = 2"), "g", "d", "at", sequence="seq", candidates=["America/Chicago"]).first()
+    assert limited.n_violations > 0
+    assert timestamps.estimate_zones(frame.where("false"), "g", "d", "at", sequence="seq").count() == 0
