@@ -1,19 +1,20 @@
 """Long exact spans shared between records, by relative Lempel-Ziv parsing against an index of all records.
 
-Index: every text is cut into blocks at content-defined anchors - the ``GRAM``-grams whose hash is the minimum of ``min_length - GRAM + 1``
-neighbours - so that every span of ``min_length`` characters holds at least one anchor, and two texts that share the span share the
-anchor. Only the hash of an anchor, the text's class and the position are shuffled; anchors of a single text go no further.
+Index: every text is cut into reference blocks at content-defined anchors - the ``GRAM``-grams whose hash is the minimum of
+``min_length - GRAM + 1`` neighbours - so that every span of ``min_length`` characters holds at least one anchor, and two texts that share the span
+share the anchor. An anchor carries the hashes of the blocks before and behind it; only these, the text's class and the position are
+shuffled, and anchors of a single text go no further.
 
-Parsing: a text is factored greedily against each text that shares an anchor: at an anchor both have, the match is extended
-to the left and right as far as the texts agree; that is a factor, and the parse goes on behind it. Factors of ``min_length``
-characters or more become spans. Where only the pairs are wanted, an anchor carries a hash of the ``min_length`` characters centred on
-it: equal ones prove a factor of that length without moving a text (every common span of ``2 * min_length - GRAM + 1`` characters has such an
-anchor); only pairs without such a proof are checked at their factor boundaries, character by character.
+Parsing: a text is factored greedily against each text that shares an anchor. A factor is a run of common anchors with equal blocks between
+them; where the blocks before (behind) an anchor differ, the run begins (ends), and the factor is extended there character by
+character. All that is needed for this is the ``SLICE`` of a text around an anchor at a factor's boundary: slices are cut from each text
+once and joined with the boundaries, so no text is copied for its links. Factors of ``min_length`` characters or more become spans. A pair is
+reported only if ``min_length`` characters of a slice of both texts are equal, one by one.
 
 Equal texts are one class (by two hashes and the length), parsed once. An anchor shared by more than ``CROWD`` texts (boilerplate,
 a hot group) is not turned into pairs: each of its texts emits the hashes of the at most ``min_length - GRAM + 1`` windows of
-``min_length`` characters around it, and only texts with an equal window are paired: work in proportion to the
-rows and to the pairs that are true, without a cap.
+``min_length`` characters around it, and only texts with an equal window are paired (for ``coverage`` only with one other text): work in
+proportion to the rows and to the pairs that are true, without a cap.
 
 Defined results: null and short texts (under ``min_length`` characters) have no spans; exact copies are pairs of each other; repeated ids are
 one record; extra columns are ignored; an empty table gives an empty table; very long texts are parsed whole.
@@ -21,12 +22,11 @@ one record; extra columns are ignored; an empty table gives an empty table; very
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.runtime import checkpointed
@@ -34,43 +34,69 @@ from quirework.runtime import checkpointed
 GRAM = 100
 CROWD = 64
 BUCKETS = 1 << 18
+BLOCK = 4096
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
 
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_POWERS: dict[int, np.ndarray] = {}
 
 
 def _powers(n: int, base: int = _BASE) -> np.ndarray:
-    out = np.empty(n, np.uint64)
+    """The first ``n`` powers of a base; kept, and made anew for longer texts only."""
+    kept = _POWERS.get(base)
+    if kept is None or len(kept) < n:
+        kept = np.empty(max(n, 4096) * 5 // 4, np.uint64)
+        with np.errstate(over="ignore"):
+            kept[0] = 1
+            kept[1:] = np.uint64(base)
+            np.multiply.accumulate(kept, out=kept)
+        _POWERS[base] = kept
+    return kept[:n]
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        out[0] = 1
-        out[1:] = np.uint64(base)
-        np.multiply.accumulate(out, out=out)
-    return out
-
-
-def window_hashes(text: str, width: int) -> np.ndarray:
-    """A 64-bit hash of every window of ``width`` characters, by differences of a polynomial prefix sum."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = len(codes)
-    if n < width:
-        return np.zeros(0, np.uint64)
-    with np.errstate(over="ignore"):
-        powers = _powers(n)
-        total = np.empty(n + 1, np.uint64)
-        total[0] = 0
-        np.cumsum((codes + np.uint64(0x1F123BB5)) * powers, out=total[1:])
-        h = (total[width:] - total[:-width]) * _powers(n - width + 1, _INVERSE)  # free of the position, so equal in all texts
         h ^= h >> np.uint64(31)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
     return h
 
 
+class Hashes:
+    """64-bit hashes of any parts of a text, by differences of a polynomial prefix sum; equal parts have equal hashes wherever they stand."""
+
+    def __init__(self, text: str):
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.n = len(codes)
+        self.total = np.zeros(self.n + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            np.cumsum((codes + np.uint64(0x1F123BB5)) * _powers(self.n), out=self.total[1:])
+
+    def windows(self, width: int) -> np.ndarray:
+        """Of every window of ``width`` characters."""
+        if self.n < width:
+            return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            return _mixed((self.total[width:] - self.total[:-width]) * _powers(self.n - width + 1, _INVERSE))
+
+    def parts(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return _mixed((self.total[end] - self.total[start]) * _powers(self.n + 1, _INVERSE)[start] + (end - start).astype(np.uint64))
+
+
+def window_hashes(text: str, width: int) -> np.ndarray:
+    """A 64-bit hash of every window of ``width`` characters."""
+    return Hashes(text).windows(width)
+
+
 def anchors(text: str, min_length: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions, hashes) of the anchors of a text: the leftmost minimum of every ``min_length - GRAM + 1`` gram hashes."""
-    h = window_hashes(text, GRAM)
+    return _anchors(window_hashes(text, GRAM), min_length)
+
+
+def _anchors(h: np.ndarray, min_length: int) -> tuple[np.ndarray, np.ndarray]:
     w = min_length - GRAM + 1
     if len(h) < w:
         return np.zeros(0, np.int64), h[:0]
@@ -90,42 +116,25 @@ def anchors(text: str, min_length: int) -> tuple[np.ndarray, np.ndarray]:
     return at, h[at]
 
 
-def factors(a: str, b: str, hits: list[tuple[int, int]], min_length: int) -> list[tuple[int, int, int]]:
-    """Greedy parse of ``a`` against ``b`` from the common anchors (position in a, in b): (start in a, start in b, length)."""
-    out: list[tuple[int, int, int]] = []
-    done: dict[int, int] = {}  # shift -> end of the last factor on that diagonal
-    for i, j in sorted(hits):
-        if done.get(i - j, -1) > i:
-            continue
-        left, step = 0, 64
-        low = min(i, j)
-        while left < low:
-            step = min(step, low - left)
-            if a[i - left - step : i - left] == b[j - left - step : j - left]:
-                left, step = left + step, step * 2
-            elif step == 1:
-                break
-            else:
-                step = max(1, step // 2)
-        right, step, high = 0, 64, min(len(a) - i, len(b) - j)
-        while right < high:
-            step = min(step, high - right)
-            if a[i + right : i + right + step] == b[j + right : j + right + step]:
-                right, step = right + step, step * 2
-            elif step == 1:
-                break
-            else:
-                step = max(1, step // 2)
-        done[i - j] = i + right
-        if left + right >= min_length:
-            out.append((i - left, j - left, left + right))
-    return out
-
-
-def _meetings(rows: DataFrame, others: DataFrame | None = None) -> DataFrame:
-    """(ca, cb, pa, pb, sure) of the pairs of classes, smaller first, that have a hash in common."""
-    b = (rows if others is None else others).select("h", F.col("c").alias("cb"), F.col("p").alias("pb"), F.col("w").alias("wb"))
-    return rows.select("h", F.col("c").alias("ca"), F.col("p").alias("pa"), "w").join(b, "h").where("ca < cb").select("ca", "cb", "pa", "pb", (F.col("w") == F.col("wb")).alias("sure"))
+def common(a: str, b: str) -> int:
+    """Number of characters that two texts have in common from their beginnings."""
+    if a == b:
+        return len(a)
+    low, high = 0, min(len(a), len(b))  # the first ``low`` agree
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
+def _meetings(rows: DataFrame) -> DataFrame:
+    """(ca, cb, pa, pb, first, last, sure) of the pairs of classes, smaller first, that share an anchor: whether a factor begins, ends there, and surely is long enough."""
+    a = rows.select("h", F.col("c").alias("ca"), F.col("p").alias("pa"), F.col("u").alias("ua"), F.col("v").alias("va"), F.col("w").alias("wa"))
+    b = rows.select("h", F.col("c").alias("cb"), F.col("p").alias("pb"), F.col("u").alias("ub"), F.col("v").alias("vb"), F.col("w").alias("wb"))
+    return a.join(b, "h").where("ca < cb").select("ca", "cb", "pa", "pb", (F.col("ua") != F.col("ub")).alias("first"), (F.col("va") != F.col("vb")).alias("last"), (F.col("wa") == F.col("wb")).alias("sure"))
 
 
 class SharedSpans:
@@ -139,95 +148,135 @@ class SharedSpans:
         self.texts = long.withColumn("c", F.concat_ws(":", F.hex(F.xxhash64("text")), F.hex(F.hash("text")), F.char_length("text").cast("string")))
         #: (id, c): the class of every record; copies have one class
         self.members = self.texts.select("id", "c").distinct()
+        self._index: tuple[DataFrame, DataFrame | None] | None = None
 
     def anchors(self) -> DataFrame:
-        """(h, c, p, w): anchors of all texts with the hash of the ``min_length`` characters centred on them."""
+        """(h, c, p, u, v, w): anchors of all texts; u and v are hashes of the blocks before and behind one, w of the ``min_length`` characters from it on."""
         least = self.min_length
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             seen: set[int] = set()
             for batch in batches:
-                hs, cs, ps, ws = [], [], [], []
+                hs, cs, ps, us, vs, ws, ns = [], [], [], [], [], [], []
                 for c, text in zip(batch["c"], batch["text"]):
                     if c in seen:  # a copy: a large group of copies sends its anchors once a task
                         continue
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(c)
-                    at, h = anchors(text, least)
-                    wide = window_hashes(text, least)
-                    start = at - (least - GRAM) // 2
-                    inside = (start >= 0) & (start < len(wide))
-                    w = np.full(len(at), c, np.int64)  # no such window: proves nothing, the class can't equal another text's
-                    w[inside] = wide[start[inside]].view(np.int64)
+                    hashes = Hashes(text)
+                    at, h = _anchors(hashes.windows(GRAM), least)
+                    between = hashes.parts(at[:-1], at[1:] + GRAM).view(np.int64)
+                    # before the first and behind the last anchor no block is equal to another text's: a class's own number
+                    own = np.array([c], np.int64)
                     hs.append(h.view(np.int64))
                     ps.append(at)
-                    ws.append(w)
-                    cs += [c] * len(at)
+                    us.append(np.concatenate([own, between]))
+                    vs.append(np.concatenate([between, own]))
+                    wide = np.full(len(at), c, np.int64)
+                    fits = at + least <= hashes.n
+                    wide[fits] = hashes.parts(at[fits], at[fits] + least).view(np.int64)
+                    ws.append(wide)
+                    cs.append(c)
+                    ns.append(len(at))
                 if cs:
-                    yield pd.DataFrame({"h": np.concatenate(hs), "c": cs, "p": np.concatenate(ps).astype(np.int32), "w": np.concatenate(ws)})
+                    yield pd.DataFrame({"h": np.concatenate(hs), "c": np.repeat(np.array(cs, np.int64), ns), "p": np.concatenate(ps).astype(np.int32), "u": np.concatenate(us), "v": np.concatenate(vs), "w": np.concatenate(ws)})
 
         short = self.texts.select(F.expr("struct(xxhash64(c) AS k)").alias("s"), "text").select(F.col("s.k").alias("c"), "text")
-        return short.mapInPandas(run, "h long, c long, p int, w long")
+        return short.mapInPandas(run, "h long, c long, p int, u long, v long, w long")
 
-    def _candidates(self, prove: bool) -> DataFrame:
-        """(ca, cb, sure, hits): pairs of classes with a common anchor; with ``prove`` hits are kept only where the anchor's hash is no proof."""
+    def _shared(self) -> tuple[DataFrame, DataFrame | None]:
+        """Anchors that several classes have, with ``crowded``; and (h, c, p): windows of ``min_length`` characters around crowded ones that several classes have, or None."""
+        if self._index is None:
+            self._index = self._build()
+        return self._index
+
+    def _build(self) -> tuple[DataFrame, DataFrame | None]:
         least = self.min_length
-        found = self.anchors().repartition("h")
-        # the count reads all columns (the last two tests always hold), so that its exchange is the join's and anchors are found once
-        counted = found.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n"), F.max("p").alias("p"), F.max("w").alias("w"))
-        shared = counted.where("a <> b AND p >= 0 AND w IS NOT NULL")
-        rows = checkpointed(found.join(shared.select("h", (F.col("n") > CROWD).alias("crowded")), "h").distinct())
-        met = _meetings(rows.where("NOT crowded"))
-        if not rows.where("crowded").isEmpty():
-            # texts of crowded anchors that have an equal window of min_length characters
-            crowds = rows.where("crowded").groupBy("c").agg(F.collect_set("p").alias("ps"))
-
-            def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                for batch in batches:
-                    for c, text, ps in zip(batch["c"], batch["text"], batch["ps"]):
-                        h = window_hashes(text, least)
-                        starts = np.unique(np.concatenate([np.arange(max(0, p - (least - GRAM)), min(p, len(h) - 1) + 1) for p in ps]))
-                        if len(starts):
-                            yield pd.DataFrame({"h": h[starts].view(np.int64), "c": c, "p": starts.astype(np.int32)})
-
-            every = self._some(crowds).join(crowds, "c").mapInPandas(windows, "h long, c long, p int").withColumn("w", F.lit(0).cast("bigint"))
-            around = every.groupBy("h", "c").agg(F.min("p").alias("p"), F.min("w").alias("w")).repartition("h")
-            equal = around.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-            around = around.join(equal, "h")
-            if prove:
-                met = met.unionByName(_meetings(around))
-            else:  # a text may hold a window often: every place of one text meets the first of the other
-                every = every.distinct().join(equal, "h")
-                met = met.unionByName(_meetings(every, around)).unionByName(_meetings(around, every))
-        hit = F.struct("pa", "pb")
-        return met.groupBy("ca", "cb").agg(F.max("sure").alias("sure"), F.collect_set(F.when(~F.col("sure"), hit) if prove else hit).alias("hits"))
-
-    def _parsed(self, hits: DataFrame) -> DataFrame:
-        """(ca, cb, pa, pb, n): the factors of at least ``min_length`` characters of the pairs in ``hits``."""
+        found = self.anchors()
+        # counts are combined before they are shuffled, and the join is left to the optimizer, which splits a skewed side: no anchor is bound to one task
+        counted = found.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b")
+        rows = checkpointed(found.join(counted.select("h", (F.col("n") > CROWD).alias("crowded")), "h").distinct())
+        if rows.where("crowded").isEmpty():
+            return rows, None
+        crowds = rows.where("crowded").groupBy("c").agg(F.collect_set("p").alias("ps"))  # at most the anchors of one text
+
+        def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for c, text, ps in zip(batch["c"], batch["text"], batch["ps"]):
+                    h = window_hashes(text, least)
+                    starts = np.unique(np.concatenate([np.arange(max(0, p - (least - GRAM)), min(p, len(h) - 1) + 1) for p in ps]))
+                    if len(starts):
+                        yield pd.DataFrame({"h": h[starts].view(np.int64), "c": c, "p": starts.astype(np.int32)})
+
+        every = self._some(crowds).join(crowds, "c").mapInPandas(windows, "h long, c long, p int")
+        equal = every.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("h")
+        return rows, checkpointed(every.join(equal, "h").select("h", "c", "p"))
+
+    def _slices(self, hits: DataFrame) -> DataFrame:
+        """``hits`` (ca, cb, pa, pb, ...) with left and right: how many characters, compared one by one, agree before and from the two places on.
+
+        At most ``min_length - GRAM`` characters are looked at before a place and ``min_length`` from it on, which is all that decides whether a
+        common span of ``min_length`` characters holds it.
+        """
         least = self.min_length
-        one = self._some(hits.select(F.explode(F.array("ca", "cb")).alias("c")))
-        left = one.select(F.col("c").alias("ca"), F.col("text").alias("ta"))
-        right = one.select(F.col("c").alias("cb"), F.col("text").alias("tb"))
+        before = least - GRAM
+        wanted = hits.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("pa").alias("p")), F.struct(F.col("cb").alias("c"), F.col("pb").alias("p")))).alias("x")).groupBy("x.c").agg(F.collect_set("x.p").alias("ps"))
 
-        def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                out = []
-                for ca, cb, ta, tb, hit in zip(batch["ca"], batch["cb"], batch["ta"], batch["tb"], batch["hits"]):
-                    out.extend((ca, cb, *f) for f in factors(ta, tb, [(int(x["pa"]), int(x["pb"])) for x in hit], least))
-                if out:
-                    yield pd.DataFrame(out, columns=["ca", "cb", "pa", "pb", "n"]).astype({"pa": "int32", "pb": "int32", "n": "int32"})
+                out = [(c, int(p), text[max(0, p - before) : p][::-1], text[p : p + least]) for c, text, ps in zip(batch["c"], batch["text"], batch["ps"]) for p in ps]
+                yield pd.DataFrame(out, columns=["c", "p", "l", "r"])
 
-        return hits.select("ca", "cb", "hits").join(left, "ca").join(right, "cb").mapInPandas(parse, "ca long, cb long, pa int, pb int, n int")
+        @F.pandas_udf("int")
+        def agree(a: pd.Series, b: pd.Series) -> pd.Series:
+            return pd.Series([common(x, y) for x, y in zip(a, b)], dtype="int32")
 
-    def spans(self) -> DataFrame:
-        """(ca, cb, pa, pb, n): the factors of at least ``min_length`` characters between different classes, ca < cb."""
-        return self._parsed(checkpointed(self._candidates(prove=False)))
+        slices = self._some(wanted).join(wanted, "c").mapInPandas(cut, "c long, p int, l string, r string")
+        a = slices.select(F.col("c").alias("ca"), F.col("p").alias("pa"), F.col("l").alias("la"), F.col("r").alias("ra"))
+        b = slices.select(F.col("c").alias("cb"), F.col("p").alias("pb"), F.col("l").alias("lb"), F.col("r").alias("rb"))
+        return hits.join(a, ["ca", "pa"]).join(b, ["cb", "pb"]).select(*hits.columns, agree("la", "lb").alias("left"), agree("ra", "rb").alias("right"))
 
     def links(self) -> DataFrame:
         """(ca, cb): pairs of different classes, ca < cb, with a common span."""
-        candidates = checkpointed(self._candidates(prove=True))
-        return candidates.where("sure").select("ca", "cb").unionByName(self._parsed(candidates.where("NOT sure")).select("ca", "cb").distinct())
+        rows, windows = self._shared()
+        met = _meetings(rows.where("NOT crowded")).where("first").select("ca", "cb", "pa", "pb", "sure")
+        if windows is not None:
+            first = windows.groupBy("h", "c").agg(F.min("p").alias("p"))
+            other = first.select("h", F.col("c").alias("cb"), F.col("p").alias("pb"))
+            met = met.unionByName(first.select("h", F.col("c").alias("ca"), F.col("p").alias("pa")).join(other, "h").where("ca < cb").select("ca", "cb", "pa", "pb", F.lit(True).alias("sure")))
+        # of a pair's factors one that is long by its hash is enough; a pair without has all compared
+        place = F.struct("pa", "pb")
+        each = met.groupBy("ca", "cb").agg(F.min(F.when(F.col("sure"), place)).alias("one"), F.collect_set(F.when(~F.col("sure"), place)).alias("all"))
+        hits = each.select("ca", "cb", F.explode(F.when(F.col("one").isNotNull(), F.array("one")).otherwise(F.col("all"))).alias("x")).select("ca", "cb", "x.pa", "x.pb")
+        return self._slices(checkpointed(hits)).where(F.col("left") + F.col("right") >= self.min_length).select("ca", "cb").distinct()
+
+    def spans(self) -> DataFrame:
+        """(c, start, end, other): parts of the classes' texts of at least ``min_length`` characters that another class's text has too, each of them in full.
+
+        Of crowded anchors each part is told with one other class; there parts can overlap each other.
+        """
+        rows, windows = self._shared()
+        if windows is not None:  # a factor is taken apart at crowded anchors, whose surroundings the windows tell
+            order = Window.partitionBy("c").orderBy("p")
+            apart = lambda near, block: F.when(F.coalesce(near, F.lit(False)), F.col("c")).otherwise(F.col(block))
+            rows = rows.select("h", "c", "p", apart(F.lag("crowded").over(order), "u").alias("u"), apart(F.lead("crowded").over(order), "v").alias("v"), "w", "crowded")
+        met = _meetings(rows.where("NOT crowded")).where("first OR last").select("ca", "cb", "pa", "pb", "first", "last")
+        if windows is not None:
+            ends = windows.groupBy("h").agg(F.min(F.struct("c", "p")).alias("x"), F.max(F.struct("c", "p")).alias("y"))
+            crowd = windows.join(ends, "h").withColumn("o", F.when(F.col("c") == F.col("x.c"), F.col("y")).otherwise(F.col("x")))
+            small = F.col("c") < F.col("o.c")
+            met = met.unionByName(crowd.select(
+                F.least("c", "o.c").alias("ca"), F.greatest("c", "o.c").alias("cb"), F.when(small, F.col("p")).otherwise(F.col("o.p")).alias("pa"),
+                F.when(small, F.col("o.p")).otherwise(F.col("p")).alias("pb"), F.lit(True).alias("first"), F.lit(True).alias("last"),
+            ).distinct())
+        near = self._slices(checkpointed(met))
+        # on a diagonal of a pair, boundaries alternate: where one begins only, the next one ends the factor
+        diagonal = Window.partitionBy("ca", "cb", F.col("pa") - F.col("pb")).orderBy("pa", F.col("first").desc())
+        ended = near.withColumn("end", F.when(F.col("last"), F.col("pa") + F.col("right")).otherwise(F.lead(F.col("pa") + F.col("right")).over(diagonal))).where("first AND end IS NOT NULL")
+        full = ended.select("ca", "cb", (F.col("pa") - F.col("left")).alias("sa"), (F.col("pb") - F.col("left")).alias("sb"), (F.col("end") - F.col("pa") + F.col("left")).alias("n")).where(F.col("n") >= self.min_length)
+        sides = F.array(F.struct(F.col("ca").alias("c"), F.col("sa").alias("start"), F.col("cb").alias("other")), F.struct(F.col("cb").alias("c"), F.col("sb").alias("start"), F.col("ca").alias("other")))
+        return full.select("n", F.explode(sides).alias("x")).select("x.c", "x.start", (F.col("x.start") + F.col("n")).alias("end"), "x.other")
 
     def _some(self, classes: DataFrame) -> DataFrame:
         """(c, text) of the classes that occur in a table, one row each.
@@ -259,17 +308,17 @@ class SharedSpans:
         ``class_id`` is the smallest id of the record's class, ``n_links`` the number of other classes it shares a span with,
         ``shared_chars`` how many of its characters also stand in another record (all of them where it has a copy).
         """
-        spans = self.spans()
-        sides = spans.select(F.col("ca").alias("c"), F.col("cb").alias("o"), F.col("pa").alias("s"), "n").unionByName(spans.select(F.col("cb").alias("c"), F.col("ca").alias("o"), F.col("pb").alias("s"), "n"))
-        merged = sides.groupBy("c").agg(F.countDistinct("o").alias("n_links"), F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e"))).alias("parts"))
-        covered = F.aggregate(
-            F.array_sort("parts"), F.struct(F.lit(0).alias("sum"), F.lit(0).alias("end")),
-            lambda acc, x: F.struct((acc["sum"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).cast("int").alias("sum"), F.greatest(acc["end"], x["e"]).cast("int").alias("end")),
-            lambda acc: acc["sum"],
-        )
+        # parts are cut at multiples of BLOCK and told once, so that a text with any number of links is merged in bounded pieces
+        block = F.explode(F.sequence(F.expr(f"start div {BLOCK}"), F.expr(f"(end - 1) div {BLOCK}")))
+        cut = self.spans().select("c", "start", "end").distinct().select("c", block.alias("block"), "start", "end")
+        cut = cut.select("c", "block", F.greatest("start", F.col("block") * BLOCK).alias("s"), F.least("end", (F.col("block") + 1) * BLOCK).alias("e")).distinct()
+        done = F.max("e").over(Window.partitionBy("c", "block").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1))
+        covered = cut.withColumn("new", F.greatest(F.lit(0), F.col("e") - F.greatest("s", F.coalesce(done, F.col("s"))))).groupBy("c").agg(F.sum("new").cast("bigint").alias("covered"))
+        links = self.links().select(F.explode(F.array("ca", "cb")).alias("c")).groupBy("c").agg(F.count("*").alias("n_links"))
+        merged = covered.join(links, "c", "full")
         ids = self.members.select("id", F.xxhash64("c").alias("c"), F.element_at(F.split("c", ":"), -1).cast("bigint").alias("n_chars"))
         classes = ids.groupBy("c").agg(F.min("id").alias("class_id"), F.count("*").alias("n_copies"))
-        each = ids.join(classes, "c").join(merged.select("c", "n_links", covered.cast("bigint").alias("covered")), "c", "left")
+        each = ids.join(classes, "c").join(merged, "c", "left")
         return each.select(
             "id", "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), "n_chars", F.when(F.col("n_copies") > 1, F.col("n_chars")).otherwise(F.coalesce("covered", F.lit(0))).alias("shared_chars")
         )

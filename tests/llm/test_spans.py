@@ -63,6 +63,24 @@ def test_crowded_anchors_take_the_exact_way(spark, texts, monkeypatch):
     assert sorted((r.id_a, r.id_b) for r in operator.pairs().collect()) == sorted(brute(texts, 200))
 
 
+@pytest.mark.parametrize("crowd", [1, 2, 3])
+def test_coverage_with_crowded_anchors_equals_brute_force(spark, monkeypatch, crowd):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    a, b, c = word(900), word(250), word(400)
+    texts = {1: a + word(80), 2: word(60) + a, 3: word(30) + a[:500] + word(90) + a[500:], 4: b + word(50) + a[300:], 5: word(40) + b + c, 6: c + b + c, 7: word(600), 8: a[100:350] + b[:199]}
+    monkeypatch.setattr(spans, "CROWD", crowd)
+    monkeypatch.setattr(spans, "BLOCK", 128)
+    operator = SharedSpans(frame_of(spark, texts), "id", "text")
+    assert {r.id: r.shared_chars for r in operator.coverage().collect()} == {i: n for i, n in covered(texts, 200).items() if len(texts[i]) >= 200}
+    links = brute(texts, 200)
+    assert {r.id: r.n_links for r in operator.coverage().collect()} == {i: sum(i in x for x in links) for i in texts if len(texts[i]) >= 200}
+
+
+def test_common():
+    assert spans.common("", "a") == 0 and spans.common("abc", "abd") == 2 and spans.common("abc", "abcd") == 3 and spans.common("xbc", "abc") == 0 and spans.common("ab", "ab") == 2
+
+
 def test_empty(spark):
     frame = spark.createDataFrame([], "id long, text string")
     assert SharedSpans(frame, "id", "text").pairs().count() == 0
