@@ -84,7 +84,15 @@ class Book:
         return self.get_chapters_text()
 
     def get_chapter_text(self, number: int) -> str:
-        return self.get_chapter(number)["content"]
+        self._checked()
+        texts = self._kept.get("chaptersFalse") or self._kept.get("chaptersTrue")
+        if texts is not None:
+            row = texts[number] if 0 <= number < len(texts) else None
+        else:
+            row = self._once(f"text{number}", lambda: self._library.chapter(number).first())
+        if row is None:
+            raise opf.BookError("ChapterError", "Chapter index out of bounds")
+        return row["content"]
 
     def get_chapter_json(self, number: int) -> str:
         return json.dumps(self.get_chapter(number), ensure_ascii=False)
@@ -187,20 +195,26 @@ class Book:
             stack.extend(reversed(node.get("children", ())))
         return html.rendered(nodes, styles)
 
+    def analyze(self) -> dict:
+        """Metadata, chapter_count, total_words, total_chars and first_chapter_preview, from one pass over the archive."""
+        self._checked()
+        row = self._once("analysis", lambda: self._library.analysis().first().asDict(recursive=True))
+        return {"metadata": {k: row[k] for k in METADATA}, "chapter_count": row["n_chapters"], "total_words": row["total_words"], "total_chars": row["total_chars"], "first_chapter_preview": row["first_chapter_preview"]}
+
     def report(self) -> str:
         """A plain report of metadata, statistics and the beginning of the text."""
         errors, meta, texts = self.validate_metadata(), self.get_metadata(), self.extract_text_only()
-        lines = ["METADATA", "Validation: " + ("OK" if not errors else f"INVALID ({', '.join(errors)})")]
+        lines = ["About the book", "  complete: " + ("yes" if not errors else f"no ({', '.join(errors)})")]
         for label, key in (("Version", "version"), ("Has cover", "has_cover"), ("Cover format", "cover_image_format"), ("Title", "title"), ("Authors", "authors"), ("Languages", "languages"), ("Publisher", "publisher"), ("Publication date", "publication_date")):
             value = meta[key]
             if key == "title":
-                value = value or "(unknown)"
+                value = value or "no title"
             if value not in (None, []):
-                lines.append(f"{label}: {', '.join(value) if isinstance(value, list) else value}")
-        lines += ["", "CONTENT", f"Chapters: {len(texts)}", f"Total words: {self.total_word_count()}", f"Total characters: {self.total_char_count()}"]
+                lines.append(f"  {label.lower()}: {', '.join(value) if isinstance(value, list) else value}")
+        lines += ["", "Its text", f"  chapters: {len(texts)}", f"  words: {self.total_word_count()}", f"  characters: {self.total_char_count()}"]
         if texts:
-            lines += ["", "FIRST CHAPTER", texts[0][:300].strip(), "..."]
-        lines += ["", "TREES", f"Chapters with a tree: {len(self.extract_ast())}"]
+            lines += ["", "It begins", "  " + texts[0][:300].strip()]
+        lines += ["", f"Node trees: {len(self.extract_ast())}"]
         return "\n".join(lines)
 
 
@@ -216,6 +230,19 @@ def get_metadata(spark: SparkSession, path: str) -> dict:
     return Book(spark, path).get_metadata()
 
 
+def analyze_path(spark: SparkSession, path: str) -> dict:
+    """The analysis report of a book: metadata, number of chapters, sums, and the beginning of the first chapter."""
+    return Book(spark, path).analyze()
+
+
+def analyze_reader(spark: SparkSession, reader) -> dict:
+    """The analysis report of a book from anything with ``read()``."""
+    return Book(spark, reader).analyze()
+
+
+analyze_sync_reader = analyze_reader
+
+
 def main(arguments: list[str] | None = None) -> int:
     """``python -m quirework.api BOOK``: print the report of a book."""
     import os

@@ -25,6 +25,7 @@ from quirework.functions import css, html, links, opf, text
 from quirework.sources import epub
 
 CONTAINER = "META-INF/container.xml"
+LINKS = 1024  # chapters of a book whose links are answered at once
 _LISTS = "authors array<string>, languages array<string>, subjects array<string>, identifiers array<string>, contributors array<string>"
 PACKAGES = (
     "book_id string, path string, opf_path string, version string, title string, description string, publisher string, publication_date string, rights string, "
@@ -108,6 +109,25 @@ def style_sheets(archive: Archive, opf_path: str, package: dict) -> list[tuple[i
     return out
 
 
+def readable(archive: Archive, opf_path: str, package: dict, policy: str, scanner: bool = False, problems: list | None = None) -> Iterator[tuple]:
+    """(spine position, id, href, media type, nodes or None, text) of the chapters that a policy keeps, in spine order; missing files go to ``problems``."""
+    manifest = {item: (href, kind) for item, href, kind, _ in package["manifest"]}
+    for pos, idref in enumerate(package["spine"]):
+        if idref not in manifest:
+            continue
+        href = joined(opf_path, manifest[idref][0])
+        try:
+            markup = archive.read(href).decode("utf-8", "strict" if policy == "skip" else "replace")
+            nodes = None if scanner else html.parse(markup)
+        except opf.BookError as error:
+            if problems is not None:
+                problems.append((pos, href, error))
+            continue
+        except (UnicodeDecodeError, AssertionError):
+            continue
+        yield pos, idref, href, manifest[idref][1], nodes, scanned(markup) if scanner else html.text_of(nodes)
+
+
 class Library:
     """Operators over a DataFrame of books (``book_id, path, length, content``)."""
 
@@ -197,26 +217,10 @@ class Library:
                 opf_path, package = archive.package()
             except opf.BookError:
                 return rows
-            manifest = {item: (href, kind) for item, href, kind, _ in package["manifest"]}
             sheet = css.rules("".join(f"{s}\n" for _, _, s in style_sheets(archive, opf_path, package))) if with_ast else []
-            index = 0
-            for pos, idref in enumerate(package["spine"]):
-                if idref not in manifest:
-                    continue
-                href = joined(opf_path, manifest[idref][0])
-                shown, kind = (("", "application/xhtml+xml") if policy == "report" else (idref, manifest[idref][1]))
-                try:
-                    data = archive.read(href)
-                except opf.BookError as error:
-                    if policy == "report":
-                        rows.append((book, pos, None, shown, href, kind, None, None, None, None, None, error.kind, str(error)))
-                    continue
-                try:
-                    markup = data.decode("utf-8", "strict" if policy == "skip" else "replace")
-                    nodes = None if scanner and not with_ast else html.parse(markup)
-                except (UnicodeDecodeError, AssertionError):
-                    continue
-                body = scanned(markup) if scanner else html.text_of(nodes)
+            problems: list[tuple] | None = [] if policy == "report" else None
+            for index, (pos, idref, href, kind, nodes, body) in enumerate(readable(archive, opf_path, package, policy, scanner and not with_ast, problems)):
+                shown, kind = ("", "application/xhtml+xml") if policy == "report" else (idref, kind)
                 title = tree = None
                 if policy != "report":
                     first = next(iter(body.split("\n")), "").strip() or None
@@ -227,8 +231,8 @@ class Library:
                             node[3] = {k: resolved(href, v) if k in ("href", "src") else v for k, v in node[3].items()}
                     tree = json.dumps(html.to_tree(nodes, css.cascade(nodes, sheet)), ensure_ascii=False)
                 rows.append((book, pos, index, shown, href, kind, title, body, len(body.split()), len(body), tree, None, None))
-                index += 1
-            return rows
+            rows += [(book, pos, None, "", href, "application/xhtml+xml", None, None, None, None, None, error.kind, str(error)) for pos, href, error in problems or ()]
+            return sorted(rows, key=lambda r: r[1])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
@@ -241,6 +245,10 @@ class Library:
         """The same library with its books persisted, for several questions about one set; without it each question reads anew."""
         return Library(self.books.persist())
 
+    def kept_chapters(self, policy: str = "skip", with_ast: bool = False) -> DataFrame:
+        """Chapters persisted in their own, small form, for several questions about them; archives are not kept."""
+        return self.chapters(policy, with_ast).persist()
+
     def texts(self) -> DataFrame:
         """(book_id, chapter_index, content)."""
         return self.chapters().select("book_id", "chapter_index", "content")
@@ -258,8 +266,31 @@ class Library:
         return book_totals(self.chapters())
 
     def analysis(self) -> DataFrame:
-        """Metadata, number of chapters, sums and the beginning of the first chapter, one row per readable book."""
-        return self.metadata().join(analysis_of(self.chapters("lossy")), "book_id", "left").na.fill({"n_chapters": 0, "total_words": 0, "total_chars": 0})
+        """Metadata, number of chapters, sums and the beginning of the first chapter, one row per readable book; every archive is opened once."""
+        fields = {"manifest": "x", "cover_image_id": "x"}
+        names = ["book_id", "path", "opf_path", *METADATA, "n_chapters", "total_words", "total_chars", "first_chapter_preview"]
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for book, path, content in zip(batch["book_id"], batch["path"], batch["content"]):
+                    try:
+                        archive = Archive(content)
+                        opf_path, package = archive.package()
+                    except opf.BookError:
+                        continue
+                    texts = [(len(body.split()), len(body), body) for *_, body in readable(archive, opf_path, package, "lossy")]
+                    cover, kinds = package["cover_image_id"], {item: kind for item, _, kind, _ in package["manifest"]}
+                    row = {k: v for k, v in package.items() if k not in fields} | {
+                        "book_id": book, "path": path, "opf_path": opf_path, "has_cover": cover is not None, "cover_image_format": kinds.get(cover), "chapter_count": len(package["spine"]), "n_chapters": len(texts),
+                        "total_words": sum(t[0] for t in texts), "total_chars": sum(t[1] for t in texts), "first_chapter_preview": texts[0][2][:300] if texts else None,
+                    }
+                    rows.append(row)
+                yield pd.DataFrame(rows, columns=names)
+
+        scalars = "title version description publisher publication_date rights cover_image_format".split()
+        kinds = {c: "string" for c in ("book_id", "path", "opf_path", *scalars, "first_chapter_preview")} | {"has_cover": "boolean"} | dict.fromkeys(("chapter_count", "n_chapters", "total_words", "total_chars"), "bigint")
+        return self.books.select("book_id", "path", "content").mapInPandas(run, ", ".join(f"{c} {kinds.get(c, 'array<string>')}" for c in names))
 
     # trees and style sheets -----------------------------------------------------------------------------------------
 
@@ -314,17 +345,77 @@ class Library:
 
         return self.books.select("book_id", "content").mapInPandas(run, "book_id string, media_type string, data binary, size bigint, error_kind string, error_msg string")
 
+    def _by_link(self, wanted: DataFrame, with_data: bool) -> DataFrame:
+        """Links answered inside the pass that opens their book: only wanted books are joined, each of them is opened once for up to ``LINKS`` chapters' links."""
+        asked = wanted.select("book_id", F.struct("chapter_index", "href").alias("w"), F.expr(f"chapter_index div {LINKS}").alias("part")).groupBy("book_id", "part").agg(F.collect_set("w").alias("wanted"))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for book, content, links_ in zip(batch["book_id"], batch["content"], batch["wanted"]):
+                    rows, archive, files = [], None, None
+                    try:
+                        archive = Archive(content)
+                    except opf.BookError as problem:
+                        broken = problem.kind
+                    for one in links_:
+                        index, href, path, data, error = one["chapter_index"], one["href"], None, None, None
+                        if archive is None:
+                            error = broken
+                        elif href is not None:
+                            path, known = found_path(archive.first, href)
+                            if not known:
+                                if files is None:
+                                    try:
+                                        files = [x[2] for x in readable(archive, *archive.package(), "skip")]
+                                    except opf.BookError:
+                                        files = []
+                                if index is not None and 0 <= index < len(files):
+                                    path = resolved(files[index], href)
+                                else:
+                                    path, error = None, "ChapterError"
+                            if with_data and error is None:
+                                try:
+                                    data = archive.read(path.partition("#")[0])
+                                except opf.BookError as problem:
+                                    error = problem.kind
+                        rows.append((book, index, href, path, data, error))
+                    yield pd.DataFrame(rows, columns=["book_id", "chapter_index", "href", "path", "data", "error_kind"]).astype({"chapter_index": "Int64"})
+
+        schema = "book_id string, chapter_index bigint, href string, path string, data binary, error_kind string"
+        return self.books.select("book_id", "content").join(asked, "book_id").select("book_id", "content", "wanted").mapInPandas(run, schema)
+
     def resolve(self, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (book_id, chapter_index, href) with ``path`` and ``error_kind``: see ``resolve_links``."""
-        names = self.entries(wanted=()).select("book_id", "entry_path").where("entry_path IS NOT NULL")
-        return resolve_links(wanted, names, self.chapters().select("book_id", "chapter_index", F.col("href").alias("chapter_href")))
+        """``wanted`` (book_id, chapter_index, href) with ``path`` and ``error_kind``, one row per different link: see ``resolve_links`` for the rules."""
+        return self._by_link(wanted, False).drop("data")
 
     def read_chapter_resource(self, wanted: DataFrame) -> DataFrame:
-        """``wanted`` (book_id, chapter_index, href) with ``data`` and ``error_kind``; external links and fragments are missing files."""
-        found = self.resolve(wanted).withColumn("entry_path", F.regexp_replace("path", r"(?s)#.*$", ""))
-        first = self.entries().where("entry_path IS NOT NULL").groupBy("book_id", "entry_path").agg(F.min_by("data", "entry_idx").alias("data"))
-        kind = F.coalesce("error_kind", F.when(F.col("data").isNull(), "MissingFile"))
-        return found.join(first, ["book_id", "entry_path"], "left").select("book_id", "chapter_index", "href", "data", kind.alias("error_kind"))
+        """``wanted`` (book_id, chapter_index, href) with ``data`` and ``error_kind``, one row per different link; external links and fragments are missing files."""
+        return self._by_link(wanted, True).drop("path")
+
+    def showcase(self) -> DataFrame:
+        """(book_id, title, has_cover, media_type, data): every book, also unreadable ones, with its cover; null data asks for a placeholder."""
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                rows = []
+                for book, path, content in zip(batch["book_id"], batch["path"], batch["content"]):
+                    title = kind = data = None
+                    has = False
+                    try:
+                        archive = Archive(content)
+                        opf_path, package = archive.package()
+                        title, cover = package["title"], package["cover_image_id"]
+                        has = cover is not None
+                        items = {item: (href, media_type) for item, href, media_type, _ in package["manifest"]}
+                        if cover in items:
+                            data, kind = archive.read(joined(opf_path, items[cover][0])), items[cover][1]
+                    except opf.BookError:
+                        pass
+                    name = path.rpartition("/")[2]
+                    rows.append((book, title or (name[:-5] if name.lower().endswith(".epub") else name), has, kind, data))
+                yield pd.DataFrame(rows, columns=["book_id", "title", "has_cover", "media_type", "data"])
+
+        return self.books.select("book_id", "path", "content").mapInPandas(run, "book_id string, title string, has_cover boolean, media_type string, data binary")
 
     # sinks ---------------------------------------------------------------------------------------------------------
 
@@ -333,6 +424,18 @@ class Library:
         self.entries(wanted).where("data IS NOT NULL").write.mode("overwrite").parquet(folder)
 
 
+def found_path(names, href: str) -> tuple[str, bool]:
+    """(path, whether it is settled) of a link by what exists in the book; the Python twin of the first forms of ``resolve_links``."""
+    clean = href.strip()
+    if clean == "" or clean.startswith(("#", "http://", "https://", "mailto:", "data:", "blob:")):
+        return clean, True
+    pieces = clean.split("#")
+    if pieces[0] in names:
+        return clean.replace("\\", "/"), True
+    normal = resolved("", "/" + pieces[0])
+    return (normal + (f"#{pieces[1]}" if len(pieces) > 1 else ""), True) if normal in names else (normal, False)
+
+
 def scanned(markup: str) -> str:
     """Python twin of ``text.markup_text`` for text that is at hand already."""
     import re
@@ -359,9 +462,17 @@ def table_of_contents(chapters: DataFrame) -> DataFrame:
     return chapters.select("book_id", "chapter_index", "chapter_id", "chapter_href", text.toc_title(F.col("title"), F.col("chapter_href")).alias("title"))
 
 
-def dense_index(chapters: DataFrame, name: str = "chapter_index") -> DataFrame:
-    """Chapters with their number from 0 in spine order within the book, without gaps."""
-    return chapters.withColumn(name, (F.row_number().over(Window.partitionBy("book_id").orderBy("spine_pos")) - 1).cast("bigint"))
+def dense_index(chapters: DataFrame, name: str = "chapter_index", block: int = 1024) -> DataFrame:
+    """Chapters with their number from 0 in spine order within the book, without gaps.
+
+    A book is numbered in blocks of spine positions with summed offsets, so that a book with most of the rows spreads over many tasks.
+    """
+    rows = chapters.withColumn("__block", F.expr(f"spine_pos div {block}"))
+    own = F.row_number().over(Window.partitionBy("book_id", "__block").orderBy("spine_pos")) - 1
+    before = F.sum("__n").over(Window.partitionBy("book_id").orderBy("__block").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy("book_id", "__block").agg(F.count("*").alias("__n")).select("book_id", "__block", F.coalesce(before, F.lit(0)).alias("__before"))
+    keep = [c for c in chapters.columns if c != name]
+    return rows.withColumn("__own", own).join(sizes, ["book_id", "__block"]).select(*(F.col(f"`{c}`") for c in keep), (F.col("__before") + F.col("__own")).cast("bigint").alias(name))
 
 
 def book_totals(chapters: DataFrame) -> DataFrame:
@@ -403,10 +514,22 @@ def resolve_links(wanted: DataFrame, names: DataFrame, chapters: DataFrame) -> D
 
 
 def link_targets(found: DataFrame, toc: DataFrame) -> DataFrame:
-    """(book_id, path, chapter_index): the chapter that an inner link leads to; of several entries of one file the last counts."""
+    """(book_id, path, chapter_index, fragment): the chapter that an inner link leads to, and the place in it; of several entries of one file the last counts."""
     keyed = toc.select("book_id", links.chapter_key(F.col("chapter_href")).alias("key"), F.col("chapter_index").alias("target")).groupBy("book_id", "key").agg(F.max("target").alias("target"))
     inner = found.where(~links.is_external(F.col("path"))).withColumn("key", links.chapter_key(F.col("path")))
-    return inner.join(keyed, ["book_id", "key"], "left").select("book_id", "path", F.col("target").alias("chapter_index"))
+    fragment = F.nullif(F.coalesce(F.try_element_at(F.split("path", "#"), F.lit(2)), F.lit("")), F.lit(""))
+    return inner.join(keyed, ["book_id", "key"], "left").select("book_id", "path", F.col("target").alias("chapter_index"), fragment.alias("fragment"))
+
+
+def navigation(found: DataFrame, toc: DataFrame) -> DataFrame:
+    """(book_id, path, action, chapter_index, fragment): what following a link does - ``scroll`` to a place on the page, ``open`` outside, ``go`` to a chapter, or ``none``."""
+    on_page = F.col("path").startswith("#")
+    out = found.where(links.is_external(F.col("path"))).select(
+        "book_id", "path", F.when(F.col("path") == "", "none").when(on_page, "scroll").otherwise("open").alias("action"), F.lit(None).cast("bigint").alias("chapter_index"),
+        F.when(on_page, F.nullif(F.substring("path", 2, 1 << 30), F.lit(""))).alias("fragment"),
+    )
+    inner = link_targets(found, toc)
+    return out.unionByName(inner.select("book_id", "path", F.when(F.col("chapter_index").isNull(), "none").otherwise("go").alias("action"), "chapter_index", F.when(F.col("chapter_index").isNotNull(), F.col("fragment")).alias("fragment")))
 
 
 def flattened(chapters: DataFrame) -> DataFrame:

@@ -33,6 +33,11 @@ _CHAPTERS = "(SELECT DISTINCT chapter_uid, book_id, spine_pos, chapter_index, id
 _CLEAN = r"array_to_string(list_filter(list_transform(string_split(content, chr(10)), lambda x: regexp_replace(regexp_replace(x, '^WS+', ''), 'WS+$', '')), lambda x: x <> ''), chr(10))"
 
 
+# the scanner form collapses white space within a line, leaves entities, and knows style elements as text
+_ESCAPED = "replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_SCANNED = rf"array_to_string(list_filter(list_transform(list_prepend('p{{margin:0}}', string_split(content, chr(10))), lambda x: regexp_replace(regexp_replace(regexp_replace({_ESCAPED}, 'WS+', ' ', 'g'), '^WS+', ''), 'WS+$', '')), lambda x: x <> ''), chr(10))"
+
+
 def _chapters(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     """Chapters, copies of a row being one record; a chapter is told by its uid, so only its hash moves where no text is needed."""
     return table(spark, folder, "chapters", "chapter_uid", *columns).dropDuplicates(["chapter_uid"])
@@ -76,11 +81,7 @@ def analysis(spark, folder):
 @query(f"SELECT chapter_uid, book_id, row_number() OVER (PARTITION BY book_id ORDER BY spine_pos) - 1 AS dense FROM {_CHAPTERS} WHERE error_kind IS NULL")
 def dense_chapter_index(spark, folder):
     """Position of every readable chapter in its book without gaps. The hot book is numbered in blocks of positions with offsets."""
-    rows = _readable(spark, folder, "book_id", "spine_pos").withColumn("block", F.floor(F.col("spine_pos") / 1024))
-    own = rows.withColumn("r", F.row_number().over(Window.partitionBy("book_id", "block").orderBy("spine_pos")) - 1)
-    sizes = rows.groupBy("book_id", "block").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("book_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    return own.join(before, ["book_id", "block"]).select("chapter_uid", "book_id", (F.col("before") + F.col("r")).cast("bigint").alias("dense"))
+    return library.dense_index(_readable(spark, folder, "book_id", "spine_pos"), "dense").select("chapter_uid", "book_id", "dense")
 
 
 _STEM = r"regexp_replace(regexp_extract(chapter_href, '[^/]*$'), '(.)\.[^.]*$', '\1')"
@@ -190,9 +191,10 @@ def manifest_paths(spark, folder):
 )
 def link_chapters(spark, folder):
     """Which chapter each manifest item's link leads to."""
-    keyed = table(spark, folder, "toc_entries", "book_id", links.chapter_key(F.col("chapter_href")).alias("key"), "chapter_index").distinct().groupBy("book_id", "key").agg(F.max("chapter_index").alias("chapter_index"))
-    items = table(spark, folder, "manifest_items", "book_id", "item_id", links.chapter_key(F.col("href")).alias("key")).distinct()
-    return items.join(keyed, ["book_id", "key"]).groupBy("book_id", "item_id").agg(F.max("chapter_index").alias("chapter_index"))
+    items = table(spark, folder, "manifest_items", "book_id", "item_id", F.col("href").alias("path")).distinct()
+    # links inside the book lead to chapters through the operator; items take theirs back by path
+    led = library.link_targets(items.select("book_id", "path").distinct(), table(spark, folder, "toc_entries", "book_id", "chapter_href", "chapter_index")).where("chapter_index IS NOT NULL")
+    return items.join(led, ["book_id", "path"]).groupBy("book_id", "item_id").agg(F.max("chapter_index").alias("chapter_index"))
 
 
 @query(rf"SELECT chapter_uid, CAST(len(p) AS BIGINT) AS n_paragraphs, md5(array_to_string(p, chr(1))) AS text_hash FROM (SELECT chapter_uid, list_filter(list_transform(regexp_split_to_array(content, '\n\s*\n'), lambda x: regexp_replace(regexp_replace(x, '^WS+', ''), 'WS+$', '')), lambda x: x <> '') AS p FROM {_CHAPTERS} WHERE content IS NOT NULL)")
@@ -232,7 +234,7 @@ def markup_text(spark, folder):
     return _narrow(_pages(spark, folder).select("chapter_uid", F.md5(plain("html")).alias("text_hash")))
 
 
-@query()
+@query(rf"SELECT chapter_uid, md5({_SCANNED}) AS text_hash FROM {_CHAPTERS} WHERE content IS NOT NULL")
 def markup_text_scanner(spark, folder):
     """Plain text of chapters from markup by the scanner form, which runs in the JVM and leaves entities."""
     return _narrow(_pages(spark, folder).select("chapter_uid", F.md5(text.markup_text(F.col("html"))).alias("text_hash")))

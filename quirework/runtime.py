@@ -47,11 +47,13 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
 
-    ``spark.checkpoint.dir`` of the session is used where set; a folder of our own only where it is unset.
+    ``spark.checkpoint.dir`` of the session is used where set; where it is unset, a folder of this machine in local mode only, and an error on a cluster.
     """
     spark = frame.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="quirework-checkpoint-"))
     return frame.checkpoint(eager=True)

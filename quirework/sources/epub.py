@@ -35,9 +35,10 @@ def books_from_bytes(spark: SparkSession, books: Iterable[tuple[str, bytes]]) ->
     return ship(spark).createDataFrame([(name, name, len(data), bytes(data)) for name, data in books], BOOKS)
 
 
-def accepted(books: DataFrame) -> DataFrame:
-    """Books that look like e-books by name."""
-    return books.where(F.lower("path").endswith(".epub"))
+def accepted(books: DataFrame, media_type: str | None = None) -> DataFrame:
+    """Books that look like e-books by name, or by their MIME type where a column ``media_type`` tells it."""
+    by_name = F.lower("path").endswith(".epub")
+    return books.where(by_name | (F.coalesce(F.col(media_type), F.lit("")) == "application/epub+zip") if media_type else by_name)
 
 
 def entries(books: DataFrame, wanted: Iterable[str] | None = None, endings: Iterable[str] | None = None) -> DataFrame:

@@ -4,11 +4,11 @@ import os
 import pytest
 
 import __spark_entry__ as entry
-from quirework.plans import book_queries, data_queries
+from quirework.plans import archive_queries, book_queries, data_queries
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
-OWN = {**book_queries.QUERIES, **data_queries.QUERIES}
+OWN = {**book_queries.QUERIES, **archive_queries.QUERIES, **data_queries.QUERIES}
 
 
 @pytest.fixture(scope="module")
