@@ -7,9 +7,9 @@ clean state emits the observed characters themselves. ASCII means the same in ev
 same emission everywhere and is collapsed; the Viterbi path over the runs of a line labels the rest, and each
 labelled span gets its state's inverse transform.
 
-The trigram model is counted over the whole corpus (``train``): Python workers count distinct tokens of their partition,
-emit trigram counts, and Spark sums them; only the model - trigrams seen at least ``min_share`` of all, a number bounded by
-1 / ``min_share`` - reaches the driver. Tokens that decode as UTF-8 under some pair are left out of the counts. ``label`` then reads
+The trigram model is counted over the whole corpus (``train``): Python workers count the distinct tokens of their partition, Spark sums
+them, and tokens that some pair turns into a more frequent token of the corpus are left out, whatever the partitions are; only the
+model - trigrams seen at least ``min_share`` of all, a number bounded by 1 / ``min_share`` - reaches the driver. ``label`` then reads
 each text once; a line whose runs don't together reach the cost of entering a state can't have a better path than the clean one, and costs a
 dictionary look-up per run.
 
@@ -171,19 +171,25 @@ def _lead_pattern() -> re.Pattern:
     return re.compile("|".join(forms))
 
 
-def _explained(token: str, n: int, tokens: Counter) -> bool:
-    """Whether some UTF-8 pair turns the token into one that is more frequent: then it is a garbled copy of that."""
-    for state in states():
-        if state.utf8:
-            out, i = [], 0
-            while i < len(token):
-                u = None if token[i].isascii() else state.unit(token, i)
-                out.append(u[0] if u else token[i])
-                i += u[1] if u else 1
-            text = "".join(out)
-            if text != token and (text.isascii() or tokens.get(text, 0) > n or tokens.get(text.strip(_MARKS), 0) > n):
-                return True
-    return False
+def _decodings(token: str) -> list[str] | None:
+    """What the UTF-8 pairs make of a token, also without signs at its ends; None if it is surely garbled (lost, or plain ASCII under a pair)."""
+    if LOST in token:
+        return None
+    found: set[str] = set()
+    if _lead_pattern().search(token):
+        for state in states():
+            if state.utf8:
+                out, i = [], 0
+                while i < len(token):
+                    u = None if token[i].isascii() else state.unit(token, i)
+                    out.append(u[0] if u else token[i])
+                    i += u[1] if u else 1
+                text = "".join(out)
+                if text != token:
+                    if text.isascii():
+                        return None
+                    found |= {text, text.strip(_MARKS)}
+    return sorted(found - {token})
 
 
 #: "à" whose second character, a no-break space, was since made a plain space
@@ -208,28 +214,35 @@ def train(texts: DataFrame, column: str = "text", min_share: float = 1e-7) -> di
     """Trigram counts of clean text over the whole corpus (``texts`` has one text per row)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        damaged = _lead_pattern()
-
-        def flush(tokens: Counter) -> pd.DataFrame:
-            out: Counter = Counter()
-            for token, n in tokens.items():
-                if LOST in token or (damaged.search(token) and _explained(token, n, tokens)):
-                    continue
-                for g in grams(token):
-                    out[g] += n
-            return pd.DataFrame({"gram": list(out), "n": list(out.values())})
-
         tokens: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
                 if text is not None and not text.isascii():
                     tokens.update(t for t in text.split() if not t.isascii())
-            if len(tokens) > 300_000:
-                yield flush(tokens)
+            if len(tokens) > 300_000:  # partial counts; Spark sums them
+                yield pd.DataFrame({"token": list(tokens), "n": list(tokens.values())})
                 tokens = Counter()
-        yield flush(tokens)
+        yield pd.DataFrame({"token": list(tokens), "n": list(tokens.values())})
+
+    @F.pandas_udf("array<string>")
+    def decodings(token: pd.Series) -> pd.Series:
+        return pd.Series([_decodings(t) for t in token])
 
-    grams_ = checkpointed(texts.select(F.col(column).alias("text")).mapInPandas(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out: Counter = Counter()
+            for token, n in zip(batch["token"], batch["n"]):
+                for g in grams(token):
+                    out[g] += n
+            yield pd.DataFrame({"gram": list(out), "n": list(out.values())})
+
+    tokens = texts.select(F.col(column).alias("text")).mapInPandas(count, "token string, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    tokens = checkpointed(tokens.withColumn("forms", decodings.asNondeterministic()("token")))
+    # a token is a garbled copy of a more frequent one that some pair turns it into
+    better = tokens.select(F.col("token").alias("form"), F.col("n").alias("m"))
+    copies = tokens.where("size(forms) > 0").select("token", "n", F.explode("forms").alias("form")).join(better, "form").where("m > n").select("token")
+    clean = tokens.where("forms IS NOT NULL").join(copies, "token", "left_anti").select("token", "n")
+    grams_ = checkpointed(clean.mapInPandas(split, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n")))
     total = grams_.agg(F.sum("n")).first()[0] or 0
     return {r[0]: r[1] for r in grams_.where(F.col("n") >= min_share * total).collect()}
 

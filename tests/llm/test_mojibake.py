@@ -85,3 +85,10 @@ def test_only_frequent_trigrams_reach_the_driver(spark, monkeypatch):
     monkeypatch.setattr(frame, "collect", lambda self: sizes.append(len(rows := collect(self))) or rows)
     got = m.train(texts, min_share=0.01)
     assert got == {g: n for g, n in every.items() if n >= 0.01 * sum(every.values())} and max(sizes) == len(got) <= 100 < len(every)
+
+
+def test_counts_do_not_depend_on_partitions(spark):
+    texts = ["žluťoučký kůň úpěl", "Ã©tÃ© vu", "été été été à la plage", "naïve café", "déjà vu �", None, "", "plain"] * 4
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = [m.train(frame.repartition(k)) for k in (1, 4, 9)]
+    assert counts[0] == counts[1] == counts[2] and any("é" in g for g in counts[0]) and not any("Ã" in g or "ã" in g for g in counts[0])
