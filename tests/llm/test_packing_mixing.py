@@ -3,6 +3,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quirework.llm import packing, tokens
 from quirework.llm.mixing import mix
@@ -129,3 +130,31 @@ def test_pack_all_equals_single_packs(spark):
     assert packing.pack_all(frame, "doc", "tokens", []).count() == 0
     with pytest.raises(ValueError):
         packing.pack_all(frame, "doc", "tokens", [("a", 1), ("a", 2)])
+
+
+def test_intervals_are_divided_until_they_are_small(spark, monkeypatch):
+    """The same selection as by sorting whole sources, also where nearly all keys lie close together."""
+    import math
+
+    from quirework.llm import mixing
+
+    rng = random.Random(4)
+    rows = [(i, "a", rng.randint(1, 40), 0.05) for i in range(3000)] + [(i, "b", 7, 1e12) for i in range(3000, 3500)] + [(i, "c", rng.randint(1, 9), float("inf")) for i in range(4000, 4100)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.03, 1), ("c", 0.47, 5)], "source string, target_share double, max_repeats int")
+    frame = spark.createDataFrame(rows, "id long, source string, n long, weight double").repartition(5)
+    whole = {(r.id, r.repeats) for r in mix(frame, targets, seed=3)[0].collect()}
+    monkeypatch.setattr(mixing, "SORT_ROWS", 5)
+    monkeypatch.setattr(mixing, "BINS", 8)
+    selected, report = mix(frame, targets, seed=3)
+    assert {(r.id, r.repeats) for r in selected.collect()} == whole
+    budgets = {r.source: (r.budget, r.tokens) for r in report.collect()}
+    keys = {r.id: -math.log(r.u) for r in frame.select("id", mixing.uniform(F.col("id"), 3).alias("u")).collect()}
+    for source in "ab":
+        budget, tokens = budgets[source]
+        own, total, expected = sorted((keys[i] / w, i, n) for i, s, n, w in rows if s == source), 0, set()
+        for _, i, n in own:
+            total += n
+            if total > budget % tokens:
+                break
+            expected.add(i)
+        assert {i for i, k in whole if any(r[0] == i and r[1] == source for r in rows)} == expected
