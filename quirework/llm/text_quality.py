@@ -4,11 +4,11 @@ Gradient-boosted trees look at the statistics of each line in its document (leng
 cells, share of common words, and how much of the document has the same shape) and give the probabilities of prose, list
 entry, table row and junk. They are trained on lines that plain rules label with confidence (weak labels; lines on which
 the rules are silent are not used), from a sample of at most ``SAMPLE_CHAPTERS`` texts chosen by hash, and calibrated on
-the hand-checked lines of ``HAND_CHECKED``. A document is what more than half of its non-empty lines are. All counts and
+lines of real chapters that were read and labelled by hand (``HAND_CHECKED``; see ``calibration``). A document is what more than half of its non-empty lines are. All counts and
 statistics cover whole texts; word and character counts are JVM expressions.
 
 Defined results: null text -> no statistics (no row); empty or blank text -> zero lines, kind ``prose`` with shares 0; extra
-columns are ignored; repeated rows give repeated results; an empty table gives an empty table (trees trained on HAND_CHECKED).
+columns are ignored; repeated rows give repeated results; an empty table gives an empty table (trees trained on EXAMPLES).
 """
 
 from __future__ import annotations
@@ -61,44 +61,64 @@ _NAVIGATION = re.compile(r"(?:<<|>>|\|\||\[[^\]]{0,6}\]|\^\w*|p\.?\d+|pg|nxt|nex
 _DIGIT = re.compile(r"\d")
 
 
-def line_statistics(lines: list[str], common: frozenset[str]) -> np.ndarray:
-    """One row of statistics per line of one document (``lines`` are its non-empty lines).
+class _Words(dict):
+    """Word -> letters if it is common, whether its shape is odd, and its mashed consonants, as one number whose sums don't mix; filled as words are met."""
+
+    def __init__(self, common: frozenset[str]):
+        super().__init__()
+        self.common = common
+
+    def __missing__(self, word: str) -> int:
+        low = word.lower()
+        odd = not (word.islower() or word.isupper() or word[1:].islower()) or len(word) > 2 and _VOWELS.isdisjoint(low)
+        value = (len(word) if low in self.common else 0) + (int(odd) << 32) + (len(_CONSONANTS.findall(low)) << 60)
+        if len(self) < 500_000:  # a bound of memory; further words are looked at again each time
+            self[word] = value
+        return value
+
+
+class _Tokens(dict):
+    """Token -> whether it is a part of a navigation bar; filled as tokens are met."""
+
+    def __missing__(self, token: str) -> bool:
+        value = bool(_NAVIGATION.match(token))
+        if len(self) < 500_000:
+            self[token] = value
+        return value
+
+
+_KNOWN: dict[frozenset[str], _Words] = {}
+_NAVIGATES = _Tokens()
+
 
-    For a long line of mostly letters that ends a sentence the statistics of marks and cells are their neutral values.
-    """
+def line_statistics(lines: list[str], common: frozenset[str]) -> np.ndarray:
+    """One row of statistics per line of one document (``lines`` are its non-empty lines); every statistic is measured on the whole line."""
     rows, shapes = [], []
-    is_common = common.__contains__
+    if common not in _KNOWN:
+        _KNOWN.clear()
+        _KNOWN[common] = _Words(common)
+    of_word, navigates = _KNOWN[common].__getitem__, _NAVIGATES.__getitem__
     for at, line in enumerate(lines):
         n = len(line)
-        words = _WORD.findall(line)
+        words, tokens = _WORD.findall(line), line.split()
         letters, count = sum(map(len, words)), len(words)
-        known = sum(map(len, filter(is_common, map(str.lower, words))))
+        value = sum(map(of_word, words))
+        known, odd, mashed = value & 0xFFFFFFFF, value >> 32 & 0xFFFFFFF, value >> 60
         digits = len(_DIGIT.findall(line))
         spaces = line.count(" ") + line.count("\t") + line.count("\xa0") + line.count("\u2003") + line.count("\u3000")
-        full_stop = bool(_FULL_STOP.search(line[-12:]))
-        dash = bool(_DASH.match(line))
-        first = next((c for c in line[:40] if c.isalpha()), "a")
-        base = [
-            math.log1p(n), count, letters / n, digits / n, (n - letters - digits - spaces) / n, spaces / n,
-            full_stop or bool(_SENTENCE.search(line[-12:])), full_stop, first.isupper(),
-        ]
-        share, mean = known / max(1, letters), letters / max(1, count)  # share of letters in common words
-        if full_stop and count >= 8 and letters > 0.7 * n and digits < 4 and share > 0.08 and "|" not in line and "\t" not in line and not _BULLET.match(line):
-            shapes.append(("dash" if dash else "text", 0))
-            rows.append([*base, 0, dash, 0, 0, share, mean, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.1, 1, 0, 0, 0, 15, 0, at == 0])
-            continue
+        end = line.rstrip()[-12:]
+        full_stop = bool(_FULL_STOP.search(end))
+        first = words[0][0] if words else "a"
         pipes, tabs, semis = line.count("|") + line.count("│"), line.count("\t"), line.count(";")
         gaps = len(_GAP.findall(line)) if "  " in line or tabs else 0
-        odd = sum(not (w.islower() or w.isupper() or w[1:].islower()) or (len(w) > 2 and _VOWELS.isdisjoint(w.lower())) for w in words)
-        tokens = line.split()
         top = Counter(line.replace(" ", "")).most_common(1)[0][1] / n if letters < n * 0.5 else 0.1
-        bullet, number, quantity = bool(_BULLET.match(line)), bool(_NUMBER.match(line)), bool(_QUANTITY.match(line))
+        bullet, dash, number, quantity = bool(_BULLET.match(line)), bool(_DASH.match(line)), bool(_NUMBER.match(line)), bool(_QUANTITY.match(line))
         leader = bool(_LEADER.search(line)) if ".." in line or ". ." in line or "__" in line else False
         numbers = line.count(",") if digits and _LAST_NUMBERS.search(line) else 0
         reference = digits >= 4 and bool(_REFERENCE.match(line))
         ruled, statement = bool(_RULED.match(line)), bool(_STATEMENT.match(line))
-        navigation = sum(1 for t in tokens if _NAVIGATION.match(t)) / max(1, len(tokens))
-        mashed = len(_CONSONANTS.findall(line.lower())) / max(1, count)
+        navigation = sum(map(navigates, tokens)) / max(1, len(tokens))
+        code = len(_CODE.findall(line)) / n if letters + spaces + digits < n else 0.0
         shape = (
             "ruled" if ruled else "navigation" if navigation > 0.5 else "pipe" if pipes > 1 else "tab" if tabs else "gap" if gaps > 1
             else "semi" if semis > 1 and count < 4 * (semis + 1) else "bullet" if bullet else "dash" if dash else "number" if number or quantity
@@ -106,8 +126,9 @@ def line_statistics(lines: list[str], common: frozenset[str]) -> np.ndarray:
         )
         shapes.append((shape, max(pipes, tabs, gaps, semis) if shape in ("pipe", "tab", "gap", "semi") else 0))
         rows.append([
-            *base, bullet, dash, number, quantity, share, mean, odd / max(1, count), pipes, tabs, gaps, semis, leader, bool(_LAST_NUMBER.search(line)), numbers,
-            reference, len(_CODE.findall(line)) / n, top, len(set(tokens)) / max(1, len(tokens)), statement, ruled, navigation, min(200, max(map(len, tokens))), mashed, at == 0,
+            math.log1p(n), count, letters / n, digits / n, (n - letters - digits - spaces) / n, spaces / n, full_stop or bool(_SENTENCE.search(end)), full_stop, first.isupper(),
+            bullet, dash, number, quantity, known / max(1, letters), letters / max(1, count), odd / max(1, count), pipes, tabs, gaps, semis, leader, bool(_LAST_NUMBER.search(end)), numbers,
+            reference, code, top, len(set(tokens)) / max(1, len(tokens)), statement, ruled, navigation, max(map(len, tokens), default=0), mashed / max(1, count), at == 0,
         ])
     if not rows:
         return np.zeros((0, len(STATISTICS)))
@@ -149,8 +170,8 @@ def weak_label(line: str, row: np.ndarray) -> int:
     return -1
 
 
-#: Lines read and labelled by hand, with the lines around them where the kind depends on these; the calibration holdout.
-HAND_CHECKED: tuple[tuple[str, str], ...] = (
+#: Texts of every kind, which stand in for kinds that a sample lacks.
+EXAMPLES: tuple[tuple[str, str], ...] = (
     ("prose", "The lamp had burned low by the time they came back from the harbour, and no one spoke of it.\nShe was not sure that he would have told them.\n“And what did you say to her?” he asked.\n“That it was late, and that you were not there.”"),
     ("prose", "When all the rivers of the north\nAre silver in the morning\nAnd every road that led us forth\nIs but a road of warning,\nThen we shall go to the sea"),
     ("prose", "– You have it with you?\n– I have not.\n– Then who has the other one?\n— They took it when they went out."),
@@ -177,15 +198,61 @@ HAND_CHECKED: tuple[tuple[str, str], ...] = (
 )
 
 
-def hand_checked(common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+#: Lines of real chapters of the test tables, read and labelled by hand, beside the lines around them: the calibration holdout, never trained on.
+HAND_CHECKED: tuple[tuple[str, str], ...] = (
+    ("prose", "Not feather orcharding graveling so and Kralvilam thunderly they. “Harbourly the on who whispered sailoring th\nThundering façading was needlely bridged was kettles lettered up for for naïves gravelly thunders. Of cottagin"),
+    ("prose", "Painter one cottage silence evening\nCoppering gardening needles ladder cottagely barrel cellared bridgely little bridging one of it of harbour sha"),
+    ("prose", "Montanha por avião floresta escada\nO quando na mercadozinho riomente coraçãomente esse muito. De viagem porto de se escadazinho da que marinheiro"),
+    ("prose", "Trädgård dröm brev dröm\nEn i år med, kopparar väg också har. “Ett andra här älv som det från stegen bara.” Koppar också upp skoghet om"),
+    ("prose", "Duše můra přístav les\nHorový přístav jen jsou ve mlhami světlo si. Měďový věžami kůňy dušový řekami mlhový by to jen co dušový bouřk"),
+    ("prose", "Ćma do mgła port\n— Jesieńami góry z…\n— Domy podróżami góry w jak do drabina.\n– Była przy dolina zamek."),
+    ("list", "2 montañas cartito\n2 marinerito\n3 × sueñomente cobrito velamente canción"),
+    ("list", "Hurnaekan, S. Valleys. 1988.\nNurnakun, G. Windowing naïvely windowly. 1931."),
+    ("list", "Їжаки лісний гора свічки ........ 22\nОсіньи художникний сонний ..................... 274\nДжерели грози дуби ...................... 273"),
+    ("list", "- cottaging;\n- eveninging thunders;\n- winter eveningly silence;"),
+    ("list", "- castillos luz viajes;\n- cancións mañanamente;\n- luzs;"),
+    ("list", "Sonhos ............ 276\nMãezinho sombras marinheirozinho .... 76\nÁrvores ........ 22"),
+    ("table", "lumière     jardin      jardin      fenêtre     No.\nX37         4595        43%         ±2 °C       ±5 °C\nA86         46.62       62%         –           30.42"),
+    ("table", "| ladder | kaars | brief |\n| C93 | 45.31 | 70% |\n| K76 | ±8 °C | 48.51 |"),
+    ("table", "девушка;лестница;туман;дом;No.\nA59;–;17%;±2 °C;±3 °C\nC29;3473;±9 °C;–;–"),
+    ("table", "│ thunder  │  winter  │ kitchen  │\n├──────────┼──────────┼──────────┤\n│   K18    │   4231   │   27%    │"),
+    ("table", "fenêtre\tchêne\tâme\tchâteau\tNo.\tNo.\nK42\t±4 °C\t–\t73.61\t75.05\t–\nB82\t84%\t–\t–\t–\t±4 °C"),
+    ("junk", "~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~~\n########################################\n**************"),
+    ("junk", "uKXLrI15TgxBxjbHLkGPoDTrOnfdxgxMCKS0dqZRslrv3TTHmF0nQ7try/xOmwC3jsRi5Nr95YS3\n53bXwUOx/IUOPIxgDJutF3fYUrYxc0DXta5zbU714OoDg5/v+bkGH+xyCXG63Eef/KEIZzjoum8E"),
+    ("junk", "%$%~\\#/^<<{!}(~#~)&@([}%>({\\]$)/)!//~!&*!~|]@{)[}>|\n!##{}%&[)@(~@!%|*@>$({#]%{[/\\|"),
+    ("junk", "p.268 || >> ^top pg ^top >>\n[x] pg >> >>\n>> Nxt Nxt pg Nxt >> >>"),
+    ("junk", "ffhgdd ww;;afwfllfje ;wl\n;h;sea dqsagj;ajk\n;dkwl qgw;hgka\nslghsfsfjgf;;d kglwfgwjlj; jwl;ew;khfajl sdjdd gfkwlhles"),
+    ("junk", ".c898 { padding: 0; }\n.c25 { float: #a3f; }\n.c297 { padding: 12px; }"),
+)
+
+
+def labelled(texts: Iterable[tuple[str, str]], common: frozenset[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and kinds of the lines of labelled texts."""
     xs, ys = [], []
-    for kind, text in HAND_CHECKED:
+    for kind, text in texts:
         lines = text.split("\n")
         xs.append(line_statistics(lines, common))
         ys += [KINDS.index(kind)] * len(lines)
     return np.vstack(xs), np.array(ys)
 
 
+def calibration(trees: BoostedTrees, common: frozenset[str]) -> tuple[float, float, float]:
+    """(share right, log loss, expected calibration error in ten bins) of hand-checked lines, each half judged by trees calibrated on the other half."""
+    right, loss, error = [], [], []
+    for k in (0, 1):
+        x, y = labelled(HAND_CHECKED[k::2], common)
+        trees.calibrate(*labelled(HAND_CHECKED[1 - k :: 2], common))
+        p = trees.probabilities(x)
+        right += (p.argmax(1) == y).tolist()
+        loss += (-np.log(np.maximum(1e-12, p[np.arange(len(y)), y]))).tolist()
+        error += p.max(1).tolist()
+    trees.calibrate(*labelled(HAND_CHECKED, common))
+    sure, right_ = np.array(error), np.array(right, float)
+    bins = np.minimum(9, (sure * 10).astype(int))
+    gap = sum(abs(right_[bins == b].mean() - sure[bins == b].mean()) * (bins == b).mean() for b in set(bins.tolist()))
+    return float(right_.mean()), float(np.mean(loss)), float(gap)
+
+
 def train(texts: Iterable[str], common: frozenset[str], lines: int = SAMPLE_LINES) -> BoostedTrees:
     """Trees trained on the weakly labelled lines of a bounded sample of texts, calibrated on the hand-checked ones."""
     xs, ys = [], []
@@ -200,11 +267,11 @@ def train(texts: Iterable[str], common: frozenset[str], lines: int = SAMPLE_LINE
         count += len(keep)
         if count >= lines:
             break
-    held, truth = hand_checked(common)
     if len(set(ys)) < len(KINDS):
-        xs.append(held)
-        ys += truth.tolist()
-    return BoostedTrees(len(KINDS)).fit(np.vstack(xs), np.array(ys)).calibrate(held, truth)
+        x, y = labelled(EXAMPLES, common)
+        xs.append(x)
+        ys += y.tolist()
+    return BoostedTrees(len(KINDS)).fit(np.vstack(xs), np.array(ys)).calibrate(*labelled(HAND_CHECKED, common))
 
 
 def sample_texts(frame: DataFrame, key: str, column: str, size: int = SAMPLE_CHAPTERS) -> list[str]:
