@@ -3,7 +3,7 @@
     list      <- item (sep item)* end             sep of the first level, in order, that gives two values or more
     item      <- ws (quoted / bracketed / bare)? ws
     quoted    <- '"' ('""' / '\\' any / !'"' any)* '"' &(ws (sep / end))
-    bracketed <- '[' item (sep item)* ']' &(ws end)
+    bracketed <- '[' item (sep item)+ ']' &(ws (sep / end))     its items stand in the list in its place
     bare      <- (term / '\\' any / !sep any)+     term: a known single value, longest first, at word boundaries
 
 Alternatives are ordered and the parser backtracks: a quote that is not closed before a separator or the end is no
@@ -80,6 +80,19 @@ class Grammar:
                 i += 1
         return None
 
+    def _bracketed(self, text: str, at: int, sep: re.Pattern) -> tuple[list[str], list[bool], bool, int] | None:
+        """Items of a bracketed list at ``at``, whether each was quoted, whether a quote was malformed, and the list's end; None if there is no list of two items or more."""
+        close = text.find("]", at + 1)
+        if text[at] != "[" or close < 0 or "[" in text[at + 1 : close]:
+            return None
+        rest = close + 1
+        while rest < len(text) and text[rest].isspace() and not sep.match(text, rest):
+            rest += 1
+        if rest < len(text) and not sep.match(text, close + 1) and not sep.match(text, rest):
+            return None
+        values, quoted, malformed = self.split(text[at + 1 : close], sep)
+        return (values, quoted, malformed, close + 1) if len(values) > 1 else None
+
     def _bare(self, text: str, low: str, at: int, sep: re.Pattern) -> tuple[str, int]:
         out, i = [], at
         while i < len(text):
@@ -107,8 +120,14 @@ class Grammar:
             while i < len(text) and text[i].isspace() and not sep.match(text, i):
                 i += 1
             hit = self._quoted(text, i, sep) if i < len(text) else None
+            inner = self._bracketed(text, i, sep) if not hit and i < len(text) else None
             if hit:
                 value, i = hit
+            elif inner:
+                values += inner[0]
+                quoted += inner[1]
+                malformed |= inner[2]
+                value, i = "", inner[3]
             else:
                 start = i
                 value, i = self._bare(text, low, i, sep)
@@ -143,7 +162,7 @@ class Grammar:
         if self.people:
             names = self._people(whole)
             if names:
-                return names, "ok"
+                return names, "malformed_quote" if self.split(whole, COMMA_OR_CONJUNCTION)[2] else "ok"
         else:
             values, _, malformed = self.split(whole, COMMA)
             if len(values) > 1:

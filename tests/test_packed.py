@@ -32,6 +32,15 @@ def test_malformed_quotes_are_flagged():
     assert SUBJECTS.parse('"a; b')[1] == "malformed_quote" and SUBJECTS.parse("a; b")[1] == "ok" and SUBJECTS.parse("a")[1] == "single"
 
 
+@pytest.mark.parametrize(("text", "values"), [("[a; b]; c", ["a", "b", "c"]), ("c | [a | b] | d", ["c", "a", "b", "d"]), ('["a;x"; b]; c', ["a;x", "b", "c"]), ("[a]; c", ["[a]", "c"]), ("[a; b", ["[a", "b"]), ("[a; b] c; d", ["[a", "b] c", "d"])])
+def test_bracketed_lists_are_items(text, values):
+    assert SUBJECTS.parse(text)[0] == values
+
+
+def test_malformed_quotes_of_name_lists_are_flagged():
+    assert PEOPLE.parse('"Jane Doe and Max Roe') == (['"Jane Doe', "Max Roe"], "malformed_quote") and PEOPLE.parse("Jane Doe and Max Roe")[1] == "ok"
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(st.characters(codec="utf-8", exclude_characters="\\"), min_size=1).map(str.strip).filter(bool), min_size=2, max_size=5))
 def test_quoted_lists_round_trip(values):
