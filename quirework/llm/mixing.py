@@ -32,13 +32,6 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.pmod(F.xxhash64(key.cast("string"), F.lit(seed)), F.lit(1 << 52)) + F.lit(0.5)) / F.lit(float(1 << 52))
 
 
-def quality_weight(text: Column) -> Column:
-    """Weight of a document between 0.05 and 1: the share of its characters that are letters or spaces, less for very short texts. JVM only."""
-    letters = F.char_length(F.regexp_replace(text, r"[^\p{L}\s]", "")) / F.greatest(F.char_length(text), F.lit(1))
-    length = F.least(F.lit(1.0), F.char_length(text) / F.lit(400.0))
-    return F.coalesce(F.greatest(F.lit(0.05), letters * letters * length), F.lit(0.05))
-
-
 def totals(records: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, tokens): what every target source has; one row per source of ``targets``."""
     have = records.groupBy("source").agg(F.sum("n").alias("tokens"))

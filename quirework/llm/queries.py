@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm import language, mojibake, names
+from quirework.llm import document_quality, language, mojibake, names
 from quirework.llm import text_quality as quality
-from quirework.llm.mixing import mix, quality_weight
+from quirework.llm.mixing import mix
 from quirework.llm.packing import MOST_TARGETS, pack_all
 from quirework.llm.spans import SharedSpans
 from quirework.llm.tokens import VOCABULARY, count_tokens
@@ -54,13 +54,17 @@ def p1_restored(spark: SparkSession, folder: str) -> DataFrame:
     ).dropDuplicates(["table_name", "record_id", "field"])
 
 
-def _chapter_statistics(spark: SparkSession, folder: str) -> DataFrame:
-    """Statistics and counts of every chapter with content."""
-    chapters = table(spark, folder, "chapters", "chapter_uid", "content", "word_count", "char_count").where("content IS NOT NULL")
+def _common_words(spark: SparkSession, folder: str) -> frozenset[str]:
     words = table(spark, folder, "common_words", F.lower("word").alias("word")).where("word IS NOT NULL").distinct().limit(COMMON_WORDS_BOUND + 1).collect()
     if len(words) > COMMON_WORDS_BOUND:
         raise ValueError("common_words is larger than its bound")
-    common = frozenset(r.word for r in words)
+    return frozenset(r.word for r in words)
+
+
+def _chapter_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics and counts of every chapter with content."""
+    chapters = table(spark, folder, "chapters", "chapter_uid", "content", "word_count", "char_count").where("content IS NOT NULL")
+    common = _common_words(spark, folder)
     trees = quality.train(quality.sample_texts(chapters, "chapter_uid", "content"), common)
     return spread(chapters).select(
         "chapter_uid", "word_count", "char_count", quality.count_words(F.col("content")).cast("bigint").alias("n_words"), F.char_length("content").cast("bigint").alias("n_chars"),
@@ -147,7 +151,10 @@ def p9_coverage(spark: SparkSession, folder: str) -> DataFrame:
 def _sizes(spark: SparkSession, folder: str, vocabulary: str = VOCABULARY, weights: bool = False) -> DataFrame:
     """(doc_id, source, n[, weight]): documents with their size in tokens; texts are tokenised once and the sizes checkpointed."""
     documents = spread(table(spark, folder, "documents", "doc_id", "source", "text"))
-    extra = [quality_weight(F.col("text")).alias("weight")] if weights else []
+    extra = []
+    if weights:
+        trees = document_quality.train(table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text", _common_words(spark, folder))
+        extra.append(document_quality.quality_weight(F.col("text"), trees).alias("weight"))
     return checkpointed(documents.select("doc_id", "source", F.coalesce(count_tokens(F.col("text"), vocabulary), F.lit(0)).alias("n"), *extra))
 
 
