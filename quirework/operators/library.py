@@ -359,6 +359,7 @@ class Library:
                         broken = problem.kind
                     for one in links_:
                         index, href, path, data, error = one["chapter_index"], one["href"], None, None, None
+                        index = None if index is None or index != index else int(index)  # pandas has no null among integers
                         if archive is None:
                             error = broken
                         elif href is not None:

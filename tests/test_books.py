@@ -183,3 +183,46 @@ def test_unknown_compression_is_an_error_row(spark):
     empty = Library.from_bytes(spark, [])
     assert empty.chapters().count() == 0 and empty.metadata().count() == 0
     assert rows(Library.from_bytes(spark, [("x", write_archive([("a", b"1")]))]).packages(), "book_id")[0]["error_kind"] == "MissingFile"
+
+
+def test_one_shot_analysis(spark, tmp_path):
+    import io as streams
+
+    from quirework import api
+
+    (tmp_path / "a.epub").write_bytes(basic())
+    got = api.analyze_path(spark, f"{tmp_path}/a.epub")
+    assert got["metadata"]["title"] == "A Book" and got["chapter_count"] == 3 and got["first_chapter_preview"].startswith("TOne") and got["total_words"] == Book(spark, basic()).total_word_count()
+    assert api.analyze_reader(spark, streams.BytesIO(basic())) == api.analyze_sync_reader(spark, streams.BytesIO(basic())) == got
+    with pytest.raises(opf.BookError):
+        api.analyze_reader(spark, streams.BytesIO(b"no archive"))
+    empty = Library.from_bytes(spark, [("e", basic(spine=()))]).analysis().first()
+    assert empty.n_chapters == 0 and empty.first_chapter_preview is None and Library.from_bytes(spark, [("x", b"")]).analysis().count() == 0
+
+
+def test_single_chapter_text_reads_no_trees(spark):
+    book = Book(spark, basic())
+    assert book.get_chapter_text(1).startswith("second") and not [k for k in book._kept if k.startswith("chapters")]
+    with pytest.raises(opf.BookError):
+        book.get_chapter_text(7)
+
+
+def test_showcase_navigation_and_acceptance(spark):
+    from quirework.operators.library import navigation
+
+    library = Library.from_bytes(spark, [("b/one.epub", basic()), ("two.epub", basic(cover="none", meta="")), ("bad.EPUB", b"x")])
+    got = {r.book_id: (r.title, r.has_cover, r.media_type, r.data is None) for r in library.showcase().collect()}
+    assert got == {"b/one.epub": ("A Book", True, "image/png", False), "two.epub": ("two", False, None, True), "bad.EPUB": ("bad", False, None, True)}
+    found = spark.createDataFrame([("x", p) for p in ("#top", "#", "", "http://a/b#c", "OEBPS/c1.xhtml#q", "/OEBPS/c2.xhtml", "nowhere#z")], "book_id string, path string")
+    went = {r.path: (r.action, r.chapter_index, r.fragment) for r in navigation(found, Library.from_bytes(spark, [("x", basic())]).toc()).collect()}
+    assert went == {"#top": ("scroll", None, "top"), "#": ("scroll", None, None), "": ("none", None, None), "http://a/b#c": ("open", None, None), "OEBPS/c1.xhtml#q": ("go", 0, "q"), "/OEBPS/c2.xhtml": ("go", 1, None), "nowhere#z": ("none", None, None)}
+    files = spark.createDataFrame([("a.epub", None), ("b.zip", "application/epub+zip"), ("c.txt", "text/plain")], "path string, media_type string")
+    assert {r.path for r in accepted(files, "media_type").collect()} == {"a.epub", "b.zip"} and {r.path for r in accepted(files).collect()} == {"a.epub"}
+
+
+def test_links_of_many_chapters_and_books(spark):
+    library = Library.from_bytes(spark, [("x", basic()), ("y", basic(base="")), ("bad", b"")])
+    wanted = spark.createDataFrame([("x", 0, "css/a.css"), ("x", 0, "css/a.css"), ("y", 5000, "css/a.css"), ("y", 5000, "../zz"), ("y", None, "images/c.png"), ("bad", 0, "c1.xhtml"), ("none", 0, "c1.xhtml"), ("x", 1, None)], "book_id string, chapter_index bigint, href string")
+    got = {(r.book_id, r.chapter_index, r.href): (r.data is not None, r.error_kind) for r in library.read_chapter_resource(wanted).collect()}
+    assert got[("x", 0, "css/a.css")] == (True, None) and got[("y", 5000, "css/a.css")] == (True, None) and got[("y", 5000, "../zz")] == (False, "ChapterError") and got[("y", None, "images/c.png")] == (True, None)
+    assert got[("bad", 0, "c1.xhtml")] == (False, "Zip") and ("none", 0, "c1.xhtml") not in got
