@@ -44,6 +44,12 @@ def spread(frame: DataFrame, *keys: str) -> DataFrame:
     return frame.repartition(cores, *keys) if keys else frame.repartition(cores)
 
 
+def scan_bytes(frame: DataFrame) -> int:
+    """The optimizer's estimate of a frame's size, which is that of the files where it comes from a scan, 0 where it isn't known; nothing is run."""
+    size = int(str(frame._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 62 else 0
+
+
 def checkpointed(frame: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the folder the cluster shares.
 
