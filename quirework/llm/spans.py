@@ -29,12 +29,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.runtime import checkpointed
+from quirework.runtime import checkpointed, scan_bytes
 
 GRAM = 100
 CROWD = 64
 BUCKETS = 1 << 18
 BLOCK = 4096
+SALTS, SAMPLE, MOST_HOT = 256, 100, 10_000  # see _hot
+TASK_BYTES, MOST_TASKS = 8 << 20, 100_000  # of compressed files, for which there is a task of the anchors' exchange at least: they take several times as much
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 
@@ -148,10 +150,14 @@ class SharedSpans:
         self.texts = long.withColumn("c", F.concat_ws(":", F.hex(F.xxhash64("text")), F.hex(F.hash("text")), F.char_length("text").cast("string")))
         #: (id, c): the class of every record; copies have one class
         self.members = self.texts.select("id", "c").distinct()
-        self._index: tuple[DataFrame, DataFrame | None] | None = None
+        self._index: tuple[bool, DataFrame, DataFrame | None] | None = None
 
-    def anchors(self) -> DataFrame:
-        """(h, c, p, u, v, w): anchors of all texts; u and v are hashes of the blocks before and behind one, w of the ``min_length`` characters from it on."""
+    def anchors(self, ends: bool = True, hot: tuple[int, ...] = (), texts: DataFrame | None = None) -> DataFrame:
+        """(h, c, p, u, v, w, z): anchors of all texts; u and v are hashes of the blocks before and behind one, w of the ``min_length`` characters from it on.
+
+        Without ``ends``, where only beginnings of factors are wanted, v is 0. z spreads the anchors whose
+        hashes are in ``hot``, by the class; it is -1 for all others.
+        """
         least = self.min_length
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -172,7 +178,7 @@ class SharedSpans:
                     hs.append(h.view(np.int64))
                     ps.append(at)
                     us.append(np.concatenate([own, between]))
-                    vs.append(np.concatenate([between, own]))
+                    vs.append(np.concatenate([between, own]) if ends else np.zeros(len(at), np.int64))
                     wide = np.full(len(at), c, np.int64)
                     fits = at + least <= hashes.n
                     wide[fits] = hashes.parts(at[fits], at[fits] + least).view(np.int64)
@@ -180,23 +186,36 @@ class SharedSpans:
                     cs.append(c)
                     ns.append(len(at))
                 if cs:
-                    yield pd.DataFrame({"h": np.concatenate(hs), "c": np.repeat(np.array(cs, np.int64), ns), "p": np.concatenate(ps).astype(np.int32), "u": np.concatenate(us), "v": np.concatenate(vs), "w": np.concatenate(ws)})
+                    h, c = np.concatenate(hs), np.repeat(np.array(cs, np.int64), ns)
+                    z = np.where(np.isin(h, np.array(hot, np.int64)), c & (SALTS - 1), -1) if hot else np.full(len(h), -1)
+                    yield pd.DataFrame({"h": h, "c": c, "p": np.concatenate(ps).astype(np.int32), "u": np.concatenate(us), "v": np.concatenate(vs), "w": np.concatenate(ws), "z": z.astype(np.int32)})
+
+        short = (self.texts if texts is None else texts).select(F.expr("struct(xxhash64(c) AS k)").alias("s"), "text").select(F.col("s.k").alias("c"), "text")
+        return short.mapInPandas(run, "h long, c long, p int, u long, v long, w long, z int")
 
-        short = self.texts.select(F.expr("struct(xxhash64(c) AS k)").alias("s"), "text").select(F.col("s.k").alias("c"), "text")
-        return short.mapInPandas(run, "h long, c long, p int, u long, v long, w long")
+    def _hot(self) -> tuple[int, ...]:
+        """Hashes of anchors that surely are in more than ``CROWD`` classes, at most ``MOST_HOT`` of them.
 
-    def _shared(self) -> tuple[DataFrame, DataFrame | None]:
+        They are told from the anchors of every ``SAMPLE``-th class; this decides how anchors are spread over tasks, nothing else.
+        """
+        some = self.anchors(texts=self.texts.where(F.pmod(F.xxhash64("c"), F.lit(SAMPLE)) == 0)).select("h", "c").distinct().groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > CROWD)
+        return tuple(r.h for r in some.orderBy(F.desc("n"), "h").limit(MOST_HOT).collect())
+
+    def _shared(self, ends: bool) -> tuple[DataFrame, DataFrame | None]:
         """Anchors that several classes have, with ``crowded``; and (h, c, p): windows of ``min_length`` characters around crowded ones that several classes have, or None."""
-        if self._index is None:
-            self._index = self._build()
-        return self._index
+        if self._index is None or ends and not self._index[0]:
+            self._index = (ends, *self._build(ends))
+        return self._index[1:]
 
-    def _build(self) -> tuple[DataFrame, DataFrame | None]:
+    def _build(self, ends: bool) -> tuple[DataFrame, DataFrame | None]:
         least = self.min_length
-        found = self.anchors()
-        # counts are combined before they are shuffled, and the join is left to the optimizer, which splits a skewed side: no anchor is bound to one task
-        counted = found.groupBy("h").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a <> b")
-        rows = checkpointed(found.join(counted.select("h", (F.col("n") > CROWD).alias("crowded")), "h").distinct())
+        # one exchange for the count and the join: the count reads all columns (the last test always holds). An anchor of very many texts is spread
+        # over SALTS tasks; it is known to be shared and crowded, so its count doesn't need to be whole
+        parts = max(int(self.texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-scan_bytes(self.texts) // TASK_BYTES)))
+        found = self.anchors(ends, self._hot()).repartition(parts, "h", "z")
+        counted = found.groupBy("h", "z").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n"), *(F.max(x).alias(x) for x in "puvw"))
+        shared = counted.where("(a <> b OR z >= 0) AND p >= 0 AND u IS NOT NULL AND v IS NOT NULL AND w IS NOT NULL")
+        rows = checkpointed(found.join(shared.select("h", "z", ((F.col("n") > CROWD) | (F.col("z") >= 0)).alias("crowded")), ["h", "z"]).distinct().drop("z"))
         if rows.where("crowded").isEmpty():
             return rows, None
         crowds = rows.where("crowded").groupBy("c").agg(F.collect_set("p").alias("ps"))  # at most the anchors of one text
@@ -214,32 +233,36 @@ class SharedSpans:
         return rows, checkpointed(every.join(equal, "h").select("h", "c", "p"))
 
     def _slices(self, hits: DataFrame) -> DataFrame:
-        """``hits`` (ca, cb, pa, pb, ...) with left and right: how many characters, compared one by one, agree before and from the two places on.
+        """``hits`` (ca, cb, pa, pb, ahead, ...) with left and right: how many characters, compared one by one, agree before and from the two places on.
 
         At most ``min_length - GRAM`` characters are looked at before a place and ``min_length`` from it on, which is all that decides whether a
-        common span of ``min_length`` characters holds it.
+        common span of ``min_length`` characters holds it. Where ``ahead`` is set, only those from it on are wanted, and left is 0.
         """
         least = self.min_length
         before = least - GRAM
-        wanted = hits.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("pa").alias("p")), F.struct(F.col("cb").alias("c"), F.col("pb").alias("p")))).alias("x")).groupBy("x.c").agg(F.collect_set("x.p").alias("ps"))
+        wanted = hits.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), F.col("pa").alias("p"), "ahead"), F.struct(F.col("cb").alias("c"), F.col("pb").alias("p"), "ahead"))).alias("x")).groupBy("x.c").agg(F.collect_set(F.struct("x.p", "x.ahead")).alias("ps"))
 
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                out = [(c, int(p), text[max(0, p - before) : p][::-1], text[p : p + least]) for c, text, ps in zip(batch["c"], batch["text"], batch["ps"]) for p in ps]
-                yield pd.DataFrame(out, columns=["c", "p", "l", "r"])
+                out = []
+                for c, text, ps in zip(batch["c"], batch["text"], batch["ps"]):
+                    for place in ps:
+                        p, ahead = int(place["p"]), bool(place["ahead"])
+                        out.append((c, p, ahead, "" if ahead else text[max(0, p - before) : p][::-1], text[p : p + least]))
+                yield pd.DataFrame(out, columns=["c", "p", "ahead", "l", "r"])
 
         @F.pandas_udf("int")
         def agree(a: pd.Series, b: pd.Series) -> pd.Series:
             return pd.Series([common(x, y) for x, y in zip(a, b)], dtype="int32")
 
-        slices = self._some(wanted).join(wanted, "c").mapInPandas(cut, "c long, p int, l string, r string")
-        a = slices.select(F.col("c").alias("ca"), F.col("p").alias("pa"), F.col("l").alias("la"), F.col("r").alias("ra"))
-        b = slices.select(F.col("c").alias("cb"), F.col("p").alias("pb"), F.col("l").alias("lb"), F.col("r").alias("rb"))
-        return hits.join(a, ["ca", "pa"]).join(b, ["cb", "pb"]).select(*hits.columns, agree("la", "lb").alias("left"), agree("ra", "rb").alias("right"))
+        slices = self._some(wanted).join(wanted, "c").mapInPandas(cut, "c long, p int, ahead boolean, l string, r string")
+        a = slices.select(F.col("c").alias("ca"), F.col("p").alias("pa"), "ahead", F.col("l").alias("la"), F.col("r").alias("ra"))
+        b = slices.select(F.col("c").alias("cb"), F.col("p").alias("pb"), "ahead", F.col("l").alias("lb"), F.col("r").alias("rb"))
+        return hits.join(a, ["ca", "pa", "ahead"]).join(b, ["cb", "pb", "ahead"]).select(*hits.columns, agree("la", "lb").alias("left"), agree("ra", "rb").alias("right"))
 
     def links(self) -> DataFrame:
         """(ca, cb): pairs of different classes, ca < cb, with a common span."""
-        rows, windows = self._shared()
+        rows, windows = self._shared(ends=False)
         met = _meetings(rows.where("NOT crowded")).where("first").select("ca", "cb", "pa", "pb", "sure")
         if windows is not None:
             first = windows.groupBy("h", "c").agg(F.min("p").alias("p"))
@@ -248,7 +271,7 @@ class SharedSpans:
         # of a pair's factors one that is long by its hash is enough; a pair without has all compared
         place = F.struct("pa", "pb")
         each = met.groupBy("ca", "cb").agg(F.min(F.when(F.col("sure"), place)).alias("one"), F.collect_set(F.when(~F.col("sure"), place)).alias("all"))
-        hits = each.select("ca", "cb", F.explode(F.when(F.col("one").isNotNull(), F.array("one")).otherwise(F.col("all"))).alias("x")).select("ca", "cb", "x.pa", "x.pb")
+        hits = each.select("ca", "cb", F.explode(F.when(F.col("one").isNotNull(), F.array("one")).otherwise(F.col("all"))).alias("x"), F.col("one").isNotNull().alias("ahead")).select("ca", "cb", "x.pa", "x.pb", "ahead")
         return self._slices(checkpointed(hits)).where(F.col("left") + F.col("right") >= self.min_length).select("ca", "cb").distinct()
 
     def spans(self) -> DataFrame:
@@ -256,7 +279,7 @@ class SharedSpans:
 
         Of crowded anchors each part is told with one other class; there parts can overlap each other.
         """
-        rows, windows = self._shared()
+        rows, windows = self._shared(ends=True)
         if windows is not None:  # a factor is taken apart at crowded anchors, whose surroundings the windows tell
             order = Window.partitionBy("c").orderBy("p")
             apart = lambda near, block: F.when(F.coalesce(near, F.lit(False)), F.col("c")).otherwise(F.col(block))
@@ -270,7 +293,7 @@ class SharedSpans:
                 F.least("c", "o.c").alias("ca"), F.greatest("c", "o.c").alias("cb"), F.when(small, F.col("p")).otherwise(F.col("o.p")).alias("pa"),
                 F.when(small, F.col("o.p")).otherwise(F.col("p")).alias("pb"), F.lit(True).alias("first"), F.lit(True).alias("last"),
             ).distinct())
-        near = self._slices(checkpointed(met))
+        near = self._slices(checkpointed(met.withColumn("ahead", F.lit(False))))
         # on a diagonal of a pair, boundaries alternate: where one begins only, the next one ends the factor
         diagonal = Window.partitionBy("ca", "cb", F.col("pa") - F.col("pb")).orderBy("pa", F.col("first").desc())
         ended = near.withColumn("end", F.when(F.col("last"), F.col("pa") + F.col("right")).otherwise(F.lead(F.col("pa") + F.col("right")).over(diagonal))).where("first AND end IS NOT NULL")

@@ -77,6 +77,14 @@ def test_coverage_with_crowded_anchors_equals_brute_force(spark, monkeypatch, cr
     assert {r.id: r.n_links for r in operator.coverage().collect()} == {i: sum(i in x for x in links) for i in texts if len(texts[i]) >= 200}
 
 
+def test_hot_anchors_are_spread_without_a_change(spark, texts, monkeypatch):
+    monkeypatch.setattr(spans, "SAMPLE", 1)
+    monkeypatch.setattr(spans, "CROWD", 10)
+    operator = SharedSpans(frame_of(spark, texts), "id", "text")
+    assert operator._hot() and sorted((r.id_a, r.id_b) for r in operator.pairs().collect()) == sorted(brute(texts, 200))
+    assert {r.id: r.shared_chars for r in operator.coverage().collect()} == {i: n for i, n in covered(texts, 200).items() if len(texts[i]) >= 200}
+
+
 def test_common():
     assert spans.common("", "a") == 0 and spans.common("abc", "abd") == 2 and spans.common("abc", "abcd") == 3 and spans.common("xbc", "abc") == 0 and spans.common("ab", "ab") == 2
 
