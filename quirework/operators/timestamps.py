@@ -151,10 +151,11 @@ def estimate_zones(frame: DataFrame, group: str, text: str, ingested: str, seque
 
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums of a task by group and zone, and the first and last row of every group in it."""
-        own, edges, part = {}, {}, None
-        names = list(tried())
+        own, edges, part, names = {}, {}, None, []
         for batch in batches:
-            part = int(batch["part"].iloc[0]) if len(batch) else part
+            if not len(batch):
+                continue
+            part, names = int(batch["part"].iloc[0]), names or list(tried())
             for g, rows_ in batch.groupby("g", sort=False, dropna=False):
                 w, at = rows_["w"].to_numpy(np.int64), rows_["at"].to_numpy(float)
                 key = None if pd.isna(g) else g
