@@ -16,7 +16,7 @@ a hot group) is not turned into pairs: each of its texts emits the hashes of the
 ``min_length`` characters around it, and only texts with an equal window are paired (for ``coverage`` only with one other text): work in
 proportion to the rows and to the pairs that are true, without a cap.
 
-Defined results: null and short texts (under ``min_length`` characters) have no spans; exact copies are pairs of each other; repeated ids are
+Defined results: null ids are left out; null and short texts (under ``min_length`` characters) have no spans; exact copies are pairs of each other; repeated ids are
 one record; extra columns are ignored; an empty table gives an empty table; very long texts are parsed whole.
 """
 
@@ -146,7 +146,7 @@ class SharedSpans:
         if min_length <= GRAM:
             raise ValueError(f"min_length must be over {GRAM}")
         self.min_length = min_length
-        long = frame.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.char_length("text") >= min_length)
+        long = frame.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.col("id").isNotNull() & (F.char_length("text") >= min_length))
         self.texts = long.withColumn("c", F.concat_ws(":", F.hex(F.xxhash64("text")), F.hex(F.hash("text")), F.char_length("text").cast("string")))
         #: (id, c): the class of every record; copies have one class
         self.members = self.texts.select("id", "c").distinct()

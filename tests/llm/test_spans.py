@@ -46,7 +46,7 @@ def test_hashes_do_not_depend_on_the_place():
 
 def frame_of(spark, texts):
     rows = [(i, t, 1) for i, t in texts.items()]
-    return spark.createDataFrame([*rows, rows[0], (999, None, 1)], "id long, text string, c int").repartition(5)
+    return spark.createDataFrame([*rows, rows[0], (999, None, 1), (None, max(texts.values(), key=len), 1)], "id long, text string, c int").repartition(5)
 
 
 def test_pairs_and_coverage_equal_brute_force(spark, texts):
