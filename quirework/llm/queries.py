@@ -206,3 +206,18 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_entities(spark: SparkSession, folder: str) -> DataFrame:
     """Every spelling with its entity and how often it is used."""
     return _entities(spark, folder).select("spelling", "n", "kind", "entity")
+
+
+# Shared spans by every window of 200 characters, for small tables: windows are 200 times their texts.
+_WINDOWS = """
+WITH d AS (SELECT DISTINCT doc_id, text FROM documents WHERE length(text) >= 200), t AS (SELECT text, min(doc_id) AS class_id, count(*) AS n FROM d GROUP BY text), m AS (SELECT doc_id, class_id FROM d JOIN t USING (text)),
+w AS (SELECT class_id, i, substr(text, i, 200) AS s FROM (SELECT class_id, text, unnest(range(1, length(text) - 198)) AS i FROM t)), shared AS (SELECT s FROM w GROUP BY s HAVING min(class_id) <> max(class_id)),
+hit AS (SELECT w.class_id, w.i, w.s FROM w SEMI JOIN shared USING (s)), links AS (SELECT DISTINCT a.class_id AS a, b.class_id AS b FROM hit a JOIN hit b ON a.s = b.s AND a.class_id <> b.class_id)
+"""
+SQL["p9_found"] = _WINDOWS + """SELECT x.doc_id AS doc_a, y.doc_id AS doc_b FROM m x JOIN m y ON x.class_id = y.class_id AND x.doc_id < y.doc_id
+UNION ALL SELECT x.doc_id, y.doc_id FROM links JOIN m x ON x.class_id = a JOIN m y ON y.class_id = b WHERE x.doc_id < y.doc_id"""
+SQL["p9_coverage"] = _WINDOWS + """, cov AS (SELECT class_id, sum(least(200, coalesce(following - i, 200))) AS k FROM (SELECT class_id, i, lead(i) OVER (PARTITION BY class_id ORDER BY i) AS following FROM hit) GROUP BY class_id),
+k AS (SELECT a AS class_id, count(*) AS n_links FROM links GROUP BY a)
+SELECT doc_id, coalesce(m.class_id, doc_id) AS class_id, coalesce(t.n, 1) AS n_copies, coalesce(n_links, 0) AS n_links, CAST(coalesce(length(o.text), 0) AS BIGINT) AS n_chars,
+CAST(CASE WHEN t.n > 1 THEN length(o.text) ELSE coalesce(k, 0) END AS BIGINT) AS shared_chars
+FROM (SELECT DISTINCT doc_id, text FROM documents) o LEFT JOIN m USING (doc_id) LEFT JOIN t ON t.class_id = m.class_id LEFT JOIN k ON k.class_id = m.class_id LEFT JOIN cov ON cov.class_id = m.class_id"""
