@@ -84,3 +84,16 @@ def validation_errors(title: Column, languages: Column, identifiers: Column) ->
     return F.array_compact(F.array(
         F.when(blank, "missing title"), F.when(F.coalesce(F.size(languages), F.lit(0)) <= 0, "missing language"), F.when(F.coalesce(F.size(identifiers), F.lit(0)) <= 0, "missing identifier"),
     ))
+
+
+def declarations(block: Column) -> Column:
+    """(key, value) of a style block in source order; the twin of ``css.declarations``, of which the last of equal names wins. Empty for null."""
+    # tokens are quoted pieces, runs without quotes and semicolons, and the semicolons that divide
+    tokens = F.regexp_extract_all(block, F.lit(r"""\"[^"]*+\"?|'[^']*+'?|[^;"']++|;"""), F.lit(0))
+    parts = F.split(F.array_join(F.transform(tokens, lambda t: F.when(t == ";", "\ufdd0").otherwise(t)), ""), "\ufdd0")
+
+    def trimmed(x: Column) -> Column:
+        return F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+    pairs = F.transform(parts, lambda p: F.struct(trimmed(F.substring_index(p, ":", 1)).alias("key"), trimmed(F.when(F.contains(p, F.lit(":")), F.substr(p, F.locate(":", p) + 1)).otherwise("")).alias("value")))
+    return F.coalesce(F.filter(pairs, lambda e: (e["key"] != "") & (e["value"] != "")), F.array().cast("array<struct<key:string,value:string>>"))

@@ -15,10 +15,12 @@ from __future__ import annotations
 import io
 import json
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import css, html, links, opf, text
@@ -43,9 +45,29 @@ NODES = (
     "book_id string, chapter_index bigint, node_id int, parent_id int, child_pos int, depth int, kind string, tag string, "
     "attrs map<string,string>, styles map<string,string>, content string"
 )
+PIECE = 4096  # rows of nodes or rules that leave a Python pass at once
 RULES = (
     "book_id string, sheet_pos int, href string, rule_id int, parent_rule_id int, kind string, selectors string, query string, name string, declarations map<string,string>, content string"
 )
+_MAP = pa.map_(pa.string(), pa.string())
+#: the same as Arrow schemas, for passes whose rows leave in pieces
+BOOKS = pa.schema([("book_id", pa.string()), ("path", pa.string()), ("length", pa.int64()), ("content", pa.binary())])
+_NODES = pa.schema([
+    ("book_id", pa.string()), ("chapter_index", pa.int64()), ("node_id", pa.int32()), ("parent_id", pa.int32()), ("child_pos", pa.int32()), ("depth", pa.int32()), ("kind", pa.string()), ("tag", pa.string()),
+    ("attrs", _MAP), ("styles", _MAP), ("content", pa.string()),
+])
+_RULES = pa.schema([
+    ("book_id", pa.string()), ("sheet_pos", pa.int32()), ("href", pa.string()), ("rule_id", pa.int32()), ("parent_rule_id", pa.int32()), ("kind", pa.string()), ("selectors", pa.string()), ("query", pa.string()),
+    ("name", pa.string()), ("declarations", _MAP), ("content", pa.string()),
+])
+
+
+def in_pieces(rows: Iterable[tuple], schema: pa.Schema, size: int = PIECE) -> Iterator[pa.RecordBatch]:
+    """Rows as batches of at most ``size``, so that a pass holds no more, however many rows its input makes."""
+    left = iter(rows)
+    while piece := list(islice(left, size)):
+        columns = ([None if x is None else list(x.items()) for x in c] if kind == _MAP else c for c, kind in zip(zip(*piece), schema.types))
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, schema.types)], schema=schema)
 
 
 class Archive:
@@ -97,6 +119,14 @@ def resolved(base_file: str, href: str) -> str:
     return "/".join(done) + mark + fragment
 
 
+def resolve_in(nodes: list[list], href: str) -> None:
+    """Links of a tree against the file it stands in."""
+    for node in nodes:
+        for k in ("href", "src"):
+            if node[3] and k in node[3]:
+                node[3][k] = resolved(href, node[3][k])
+
+
 def style_sheets(archive: Archive, opf_path: str, package: dict) -> list[tuple[int, str, str]]:
     """(manifest position, href, text) of the readable style sheets, in manifest order."""
     out = []
@@ -109,8 +139,20 @@ def style_sheets(archive: Archive, opf_path: str, package: dict) -> list[tuple[i
     return out
 
 
-def readable(archive: Archive, opf_path: str, package: dict, policy: str, scanner: bool = False, problems: list | None = None) -> Iterator[tuple]:
-    """(spine position, id, href, media type, nodes or None, text) of the chapters that a policy keeps, in spine order; missing files go to ``problems``."""
+def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Archive, str, dict]]:
+    """(book, archive, path of the package document, package) of the books that can be read, one after another."""
+    for batch in batches:
+        for book, content in zip(batch.column("book_id"), batch.column("content")):
+            try:
+                archive = Archive(content.as_py())
+                opf_path, package = archive.package()
+            except opf.BookError:
+                continue
+            yield book.as_py(), archive, opf_path, package
+
+
+def readable(archive: Archive, opf_path: str, package: dict, policy: str, scanner: bool = False, problems: list | None = None, texts: bool = True) -> Iterator[tuple]:
+    """(spine position, id, href, media type, nodes or None, text or None) of the chapters that a policy keeps, in spine order; missing files go to ``problems``."""
     manifest = {item: (href, kind) for item, href, kind, _ in package["manifest"]}
     for pos, idref in enumerate(package["spine"]):
         if idref not in manifest:
@@ -125,7 +167,7 @@ def readable(archive: Archive, opf_path: str, package: dict, policy: str, scanne
             continue
         except (UnicodeDecodeError, AssertionError):
             continue
-        yield pos, idref, href, manifest[idref][1], nodes, scanned(markup) if scanner else html.text_of(nodes)
+        yield pos, idref, href, manifest[idref][1], nodes, scanned(markup) if scanner else html.text_of(nodes) if texts else None
 
 
 class Library:
@@ -226,9 +268,7 @@ class Library:
                     first = next(iter(body.split("\n")), "").strip() or None
                     title = (html.title_of(nodes) if with_ast else None) or first
                 if with_ast:
-                    for node in nodes:
-                        if node[3]:
-                            node[3] = {k: resolved(href, v) if k in ("href", "src") else v for k, v in node[3].items()}
+                    resolve_in(nodes, href)
                     tree = json.dumps(html.to_tree(nodes, css.cascade(nodes, sheet)), ensure_ascii=False)
                 rows.append((book, pos, index, shown, href, kind, title, body, len(body.split()), len(body), tree, None, None))
             rows += [(book, pos, None, "", href, "application/xhtml+xml", None, None, None, None, None, error.kind, str(error)) for pos, href, error in problems or ()]
@@ -294,28 +334,40 @@ class Library:
 
     # trees and style sheets -----------------------------------------------------------------------------------------
 
-    def ast_nodes(self) -> DataFrame:
-        """The trees of all chapters, one row per node, in document order."""
-        return flattened(self.chapters(with_ast=True))
+    def ast_nodes(self, styled: bool = True, only: str | None = None) -> DataFrame:
+        """The trees of all chapters, one row per node, in document order, with the chapter's id as ``chapter_id``.
+
+        Without ``styled`` no style sheet is parsed and styles are null; ``only`` is the one kind of nodes that leaves the pass.
+        """
+        schema = _NODES.append(pa.field("chapter_id", pa.string()))
+
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for book, archive, opf_path, package in opened(batches):
+                sheet = css.rules("".join(f"{s}\n" for _, _, s in style_sheets(archive, opf_path, package))) if styled else []
+                for index, (_, idref, href, _, nodes, _) in enumerate(readable(archive, opf_path, package, "skip", texts=False)):
+                    resolve_in(nodes, href)
+                    styles = css.cascade(nodes, sheet) if styled else {}
+                    depths, below = [0] * len(nodes), [0] * len(nodes)
+                    for i, (parent, kind, tag, attributes, content) in enumerate(nodes):
+                        place = 0
+                        if parent is not None:
+                            depths[i], place = depths[parent] + 1, below[parent]
+                            below[parent] += 1
+                        if only in (None, kind):
+                            yield book, index, i, parent, place, depths[i], kind, tag, attributes, styles.get(i), content, idref
+
+        return self.books.select("book_id", "content").mapInArrow(lambda batches: in_pieces(rows(batches), schema), f"{NODES}, chapter_id string")
 
     def css_rules(self) -> DataFrame:
         """The rules of all style sheets, in manifest and source order; rules inside media and supports blocks name their parent."""
-        names = [c.strip().split(" ")[0] for c in RULES.replace("map<string,string>", "m").split(",")]
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                rows = []
-                for book, content in zip(batch["book_id"], batch["content"]):
-                    try:
-                        archive = Archive(content)
-                        sheets = style_sheets(archive, *archive.package())
-                    except opf.BookError:
-                        continue
-                    for pos, href, source in sheets:
-                        rows += [(book, pos, href, r["rule"], r["parent"], r["kind"], r["selectors"], r["query"], r["name"], r["declarations"], r["content"]) for r in css.rules(source)]
-                yield pd.DataFrame(rows, columns=names).astype({"sheet_pos": "Int32", "rule_id": "Int32", "parent_rule_id": "Int32"})
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for book, archive, opf_path, package in opened(batches):
+                for pos, href, source in style_sheets(archive, opf_path, package):
+                    for r in css.rules(source):
+                        yield book, pos, href, r["rule"], r["parent"], r["kind"], r["selectors"], r["query"], r["name"], r["declarations"], r["content"]
 
-        return self.books.select("book_id", "content").mapInPandas(run, RULES)
+        return self.books.select("book_id", "content").mapInArrow(lambda batches: in_pieces(rows(batches), _RULES), RULES)
 
     # covers and resources -------------------------------------------------------------------------------------------
 
@@ -535,50 +587,56 @@ def navigation(found: DataFrame, toc: DataFrame) -> DataFrame:
 
 def flattened(chapters: DataFrame) -> DataFrame:
     """Nodes of the JSON trees of chapters, one row each, in document order."""
-    names = [c.strip().split(" ")[0] for c in NODES.replace("map<string,string>", "m").split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for book, index, tree in zip(batch["book_id"], batch["chapter_index"], batch["ast"]):
-                if tree is None:
-                    continue
-                stack, count = [(json.loads(tree), None, 0, 0)], 0
-                while stack:
-                    node, parent, place, depth = stack.pop()
-                    rows.append((book, index, count, parent, place, depth, node["type"], node.get("tag"), node.get("attrs"), node.get("styles"), node.get("content")))
-                    below = node.get("children", ())
-                    stack.extend((c, count, i, depth + 1) for i, c in reversed(list(enumerate(below))))
-                    count += 1
-            yield pd.DataFrame(rows, columns=names).astype({"node_id": "Int32", "parent_id": "Int32", "child_pos": "Int32", "depth": "Int32"})
-
-    return chapters.select("book_id", "chapter_index", "ast").mapInPandas(run, NODES)
 
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for book, index, tree in ((x.as_py() for x in row) for batch in batches for row in zip(*batch.columns)):
+            stack, count = [] if tree is None else [(json.loads(tree), None, 0, 0)], 0
+            while stack:
+                node, parent, place, depth = stack.pop()
+                yield book, index, count, parent, place, depth, node["type"], node.get("tag"), node.get("attrs"), node.get("styles"), node.get("content")
+                below = node.get("children", ())
+                stack.extend((c, count, i, depth + 1) for i, c in reversed(list(enumerate(below))))
+                count += 1
 
-def styled_elements(nodes: DataFrame, rules: DataFrame) -> DataFrame:
-    """(book_id, chapter_index, node_id, styles): the cascade as a join, for trees and rules that are tables.
+    return chapters.select("book_id", "chapter_index", "ast").mapInArrow(lambda batches: in_pieces(rows(batches), _NODES), NODES)
+
+
+def styled_alike(nodes: DataFrame, rules: DataFrame, *more: str) -> DataFrame:
+    """(book_id, tag, styles, elements): the cascade as a join, for trees and rules that are tables; ``styles`` is empty where nothing matches.
 
-    ``nodes`` is as of ``flattened``, ``rules`` as of ``Library.css_rules``. Selectors are taken apart into tag, classes and ids and met by
-    tag within the book (any-tag selectors meet every element), so no element is compared with the rules of another tag or book.
+    ``nodes`` is as of ``flattened``, ``rules`` as of ``Library.css_rules``. Elements of one book with the same tag, class, id and style attribute have the same styles: they are one
+    row, of up to ``LINKS`` chapters, whose ``elements`` are (chapter_index, node_id) and ``more`` columns. Selectors are taken apart into tag, classes and ids; the rules of a book, which
+    one archive holds, become one row that finds them by tag, so no element is compared with the rules of another tag or book.
     """
 
     @F.pandas_udf("array<struct<tag string, classes array<string>, ids array<string>>>")
     def parts(groups: pd.Series) -> pd.Series:
         return pd.Series([[{"tag": t, "classes": c, "ids": i} for t, c, i in css.simple_selectors(g or "")] for g in groups])
 
-    @F.pandas_udf("map<string,string>")
-    def inline(blocks: pd.Series) -> pd.Series:
-        return pd.Series([css.declarations(b or "") for b in blocks])
+    def let(value: Column, body) -> Column:
+        return F.transform(F.array(value), body)[0]  # evaluated once, also inside functions of arrays
 
-    order = F.struct("sheet_pos", "rule_id")
-    selectors = rules.where("kind = 'style' AND parent_rule_id IS NULL").select("book_id", order.alias("at"), "declarations", F.explode(parts("selectors")).alias("s")).select("book_id", "at", "declarations", F.col("s.tag").alias("want"), "s.classes", "s.ids")
-    elements = nodes.where("kind = 'Element'").select(
-        "book_id", "chapter_index", "node_id", "tag", F.filter(F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+"), lambda c: c != "").alias("own"),
-        F.try_element_at("attrs", F.lit("id")).alias("own_id"), F.try_element_at("attrs", F.lit("style")).alias("style"),
-    )
-    meets = elements.select("*", F.explode(F.array(F.col("tag"), F.lit(""))).alias("key")).join(selectors.withColumn("key", F.coalesce("want", F.lit(""))), ["book_id", "key"])
-    fits = meets.where(F.forall("classes", lambda c: F.array_contains("own", c)) & F.forall("ids", lambda i: F.col("own_id").eqNullSafe(i)))
-    each = fits.select("book_id", "chapter_index", "node_id", "at", F.explode("declarations").alias("k", "v")).groupBy("book_id", "chapter_index", "node_id", "k").agg(F.max_by("v", "at").alias("v"))
-    own = elements.where("style IS NOT NULL").select("book_id", "chapter_index", "node_id", F.explode(inline("style")).alias("k", "o"))
-    merged = each.join(own, ["book_id", "chapter_index", "node_id", "k"], "full_outer").select("book_id", "chapter_index", "node_id", "k", F.coalesce("o", "v").alias("v"))
-    return merged.groupBy("book_id", "chapter_index", "node_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("k", "v")))).alias("styles"))
+    # selectors are parsed behind the exchange, not in one more Python worker of the tasks that read archives
+    top = rules.where("kind = 'style' AND parent_rule_id IS NULL").select("book_id", "sheet_pos", "rule_id", "selectors", "declarations").repartition("book_id")
+    selectors = top.select("book_id", "sheet_pos", "rule_id", F.map_entries("declarations").alias("declared"), F.explode(parts("selectors")).alias("s"))
+    by_tag = selectors.groupBy("book_id", F.coalesce("s.tag", F.lit("")).alias("key")).agg(F.collect_list(F.struct("sheet_pos", "rule_id", "declared", "s.classes", "s.ids")).alias("rules"))
+    sheets = by_tag.groupBy("book_id").agg(F.map_from_entries(F.collect_list(F.struct("key", "rules"))).alias("__sheet"))
+
+    attributes = [F.try_element_at("attrs", F.lit(c)).alias(f"__{c}") for c in ("class", "id", "style")]
+    elements = nodes.where("kind = 'Element'").select("book_id", F.expr(f"chapter_index div {LINKS}").alias("__part"), "tag", *attributes, F.struct("chapter_index", "node_id", *more).alias("__element"))
+    alike = elements.groupBy("book_id", "__part", "tag", "__class", "__id", "__style").agg(F.collect_list("__element").alias("elements"))
+    both = F.flatten(F.filter(F.array(*(F.try_element_at("__sheet", tag) for tag in (F.col("tag"), F.lit("")))), lambda x: x.isNotNull()))
+
+    def fits(own: Column) -> Column:
+        return F.filter(both, lambda r: F.forall(r["classes"], lambda c: F.array_contains(own, c)) & F.forall(r["ids"], lambda i: F.col("__id").eqNullSafe(i)))
+
+    found = F.sort_array(let(F.split(F.coalesce("__class", F.lit("")), r"(?U)[\s\x1c-\x1f]+"), fits))
+    declared = F.concat(F.flatten(F.transform(found, lambda r: r["declared"])), text.declarations(F.col("__style")))
+    last = let(declared, lambda d: F.map_from_entries(F.transform(F.sort_array(F.array_distinct(d["key"])), lambda k: F.struct(k, F.element_at(F.filter(d, lambda e: e["key"] == k), -1)["value"]))))
+    return alike.join(sheets, "book_id", "left").select("book_id", "tag", last.alias("styles"), "elements")
+
+
+def styled_elements(nodes: DataFrame, rules: DataFrame) -> DataFrame:
+    """(book_id, chapter_index, node_id, styles) of the elements to which ``styled_alike`` gives a style."""
+    each = styled_alike(nodes, rules).select("book_id", "styles", F.explode("elements").alias("e"))
+    return each.where(F.size("styles") > 0).select("book_id", "e.chapter_index", "e.node_id", "styles")

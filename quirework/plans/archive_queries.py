@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,44 +51,45 @@ def volumes(spark: SparkSession, folder: str) -> DataFrame:
     meta = table(spark, folder, "epub_metadata", "book_id", "harvest_id", "harvested_at", *scalars, *lists)
     latest = meta.groupBy("book_id").agg(F.max_by(F.struct(*scalars, *lists), F.struct("harvested_at", "harvest_id")).alias("m"))
     covers = table(spark, folder, "manifest_items", "book_id", "item_id", "href", "media_type", "properties").where("properties = 'cover-image'").groupBy("book_id").agg(F.max(F.struct("item_id", "href", "media_type")).alias("cover"))
-    chapters = table(spark, folder, "chapters", "chapter_uid", "book_id", "spine_pos", "title", "content", "error_kind").dropDuplicates(["chapter_uid"])
+    chapters = table(spark, folder, "chapters", "chapter_uid", "book_id", "spine_pos", "title", "content", "error_kind").withColumn("volume", F.expr(f"spine_pos div {VOLUME}"))
     rows = F.struct("spine_pos", "chapter_uid", F.coalesce("title", F.lit("")).alias("title"), F.coalesce("content", F.lit("")).alias("content"), "error_kind")
-    # at most VOLUME spine positions are gathered
-    parts = chapters.groupBy("book_id", F.expr(f"spine_pos div {VOLUME}").alias("volume")).agg(F.array_sort(F.collect_list(rows)).alias("chapters"))
-    books = parts.join(latest, "book_id").join(covers, "book_id", "left")
+    # at most VOLUME spine positions are gathered; exact copies are told in their volume, and metadata comes to volumes, so that contents are shuffled once
+    parts = chapters.groupBy("book_id", "volume").agg(F.array_sort(F.array_distinct(F.collect_list(rows))).alias("chapters"))
+    packages = chapters.select("book_id", "volume").distinct().join(latest, "book_id").join(covers, "book_id", "left")
+    books = parts.join(packages, ["book_id", "volume"])
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return library.in_pieces((row for batch in batches for row in map(archive, *(batch.column(c) for c in ("book_id", "volume", "chapters", "m", "cover")))), library.BOOKS, 64)
+
+    def archive(*row: pa.Scalar) -> tuple:
         from xml.sax.saxutils import escape, quoteattr
 
         names = {"title": "title", "description": "description", "publisher": "publisher", "publication_date": "date", "rights": "rights"}
         multiple = {"authors": "creator", "languages": "language", "subjects": "subject", "identifiers": "identifier", "contributors": "contributor"}
-        for batch in batches:
-            out = []
-            for book, volume, chapters_, m, cover in zip(batch["book_id"], batch["volume"], batch["chapters"], batch["m"], batch["cover"]):
-                fields = "".join(f"<dc:{tag}>{escape(m[k])}</dc:{tag}>" for k, tag in names.items() if m[k] is not None)
-                fields += "".join(f"<DC:{tag}>{escape(x)}</DC:{tag}>" for k, tag in multiple.items() for x in (m[k] if m[k] is not None else ()) if x is not None)
-                items, refs, files = ['<item id="css1" href="css/main.css" media-type="text/css"/>'], [], []
-                if cover is not None:
-                    items.append(f'<item id={quoteattr(cover["item_id"])} href={quoteattr(cover["href"])} media-type={quoteattr(cover["media_type"])} properties="cover-image"/>')
-                    files.append((f"OEBPS/{cover['href']}", b"\xff\xd8" + str(book).encode()))
-                for c in chapters_:
-                    item, kind = f"u{c['chapter_uid']}", c["error_kind"]
-                    refs.append(f'<itemref idref="{item}"/>')
-                    if kind in (None, "MissingFile", "Utf8"):
-                        items.append(f'<item id="{item}" href="text/{item}.xhtml" media-type="application/xhtml+xml"/>')
-                    if kind is None:
-                        files.append((f"OEBPS/text/{item}.xhtml", _markup(c["title"], c["content"], c["spine_pos"]).encode()))
-                    elif kind == "Utf8":
-                        files.append((f"OEBPS/text/{item}.xhtml", b"<p>caf\xe9</p>"))
-                version = "" if m["version"] is None else f" version={quoteattr(m['version'])}"
-                package = f'<package{version}><metadata xmlns:dc="d" xmlns:DC="d">{fields}</metadata><manifest>{"".join(items)}</manifest><spine>{"".join(refs)}</spine></package>'
-                head = [("META-INF/container.xml", CONTAINER.format("OEBPS/content.opf").encode()), ("OEBPS/content.opf", package.encode()), ("OEBPS/css/main.css", SHEET.encode())]
-                data = write_archive([*head, *files])
-                name = f"{book}-{volume}"
-                out.append((name, f"shelf/{name}.epub", len(data), data))
-            yield pd.DataFrame(out, columns=["book_id", "path", "length", "content"])
-
-    return books.mapInPandas(write, BOOKS)
+        book, volume, chapters_, m, cover = (x.as_py() for x in row)
+        fields = "".join(f"<dc:{tag}>{escape(m[k])}</dc:{tag}>" for k, tag in names.items() if m[k] is not None)
+        fields += "".join(f"<DC:{tag}>{escape(x)}</DC:{tag}>" for k, tag in multiple.items() for x in (m[k] if m[k] is not None else ()) if x is not None)
+        items, refs, files = ['<item id="css1" href="css/main.css" media-type="text/css"/>'], [], []
+        if cover is not None:
+            items.append(f'<item id={quoteattr(cover["item_id"])} href={quoteattr(cover["href"])} media-type={quoteattr(cover["media_type"])} properties="cover-image"/>')
+            files.append((f"OEBPS/{cover['href']}", b"\xff\xd8" + str(book).encode()))
+        for c in chapters_:
+            item, kind = f"u{c['chapter_uid']}", c["error_kind"]
+            refs.append(f'<itemref idref="{item}"/>')
+            if kind in (None, "MissingFile", "Utf8"):
+                items.append(f'<item id="{item}" href="text/{item}.xhtml" media-type="application/xhtml+xml"/>')
+            if kind is None:
+                files.append((f"OEBPS/text/{item}.xhtml", _markup(c["title"], c["content"], c["spine_pos"]).encode()))
+            elif kind == "Utf8":
+                files.append((f"OEBPS/text/{item}.xhtml", b"<p>caf\xe9</p>"))
+        version = "" if m["version"] is None else f" version={quoteattr(m['version'])}"
+        package = f'<package{version}><metadata xmlns:dc="d" xmlns:DC="d">{fields}</metadata><manifest>{"".join(items)}</manifest><spine>{"".join(refs)}</spine></package>'
+        head = [("META-INF/container.xml", CONTAINER.format("OEBPS/content.opf").encode()), ("OEBPS/content.opf", package.encode()), ("OEBPS/css/main.css", SHEET.encode())]
+        data = write_archive([*head, *files], level=1)
+        name = f"{book}-{volume}"
+        return name, f"shelf/{name}.epub", len(data), data
+
+    return books.select("book_id", "volume", "chapters", "m", "cover").mapInArrow(write, BOOKS)
 
 
 _BLANK = "regexp_replace({}, 'WS+', '', 'g') = ''"
@@ -292,9 +294,8 @@ def archive_styles(spark, folder):
 def archive_styled_elements(spark, folder):
     """The same by the cascade as a join of the tables of nodes and rules."""
     books = _library(spark, folder)
-    nodes = books.ast_nodes().where("kind = 'Element'")
-    styled = library.styled_elements(nodes, books.css_rules())
-    return _styles(nodes.drop("styles").join(styled, ["book_id", "chapter_index", "node_id"], "left"), books.toc())
+    alike = library.styled_alike(books.ast_nodes(styled=False, only="Element"), books.css_rules(), "chapter_id").select("book_id", "tag", _block("styles").alias("styles"), F.explode("elements.chapter_id").alias("id"))
+    return alike.groupBy("book_id", F.substring("id", 2, 30).cast("bigint").alias("chapter_uid"), "tag", "styles").agg(F.count("*").alias("n"))
 
 
 @query(

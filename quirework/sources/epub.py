@@ -80,10 +80,10 @@ def read_entry(entries_: DataFrame, name: str) -> DataFrame:
     return books.join(first, "book_id", "left").select("book_id", "data", F.when(F.col("hit").isNull(), "MissingFile").otherwise(F.col("error_kind")).alias("error_kind"))
 
 
-def write_archive(files: Iterable[tuple[str, bytes]], compress: bool = True) -> bytes:
+def write_archive(files: Iterable[tuple[str, bytes]], compress: bool = True, level: int | None = None) -> bytes:
     """An archive of the given files, in order; for tests and exports of single books."""
     out = io.BytesIO()
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if compress else zipfile.ZIP_STORED) as archive:
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED if compress else zipfile.ZIP_STORED, compresslevel=level) as archive:
         for name, data in files:
             archive.writestr(name, data)
     return out.getvalue()

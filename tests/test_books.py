@@ -2,12 +2,14 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from books import META, X, basic, container, package, page
+from pyspark.sql import functions as F
 
 from quirework.api import Book
-from quirework.functions import opf
-from quirework.operators.library import Library, joined, link_targets, resolved, styled_elements
+from quirework.functions import css, opf, text
+from quirework.operators.library import PIECE, Library, flattened, in_pieces, joined, link_targets, resolved, styled_elements
 from quirework.sources.epub import accepted, write_archive
 from quirework.streaming.folder import follow, write_chapters
 
@@ -109,6 +111,27 @@ def test_trees_and_styles(spark):
     assert [r["kind"] for r in rules] == ["style", "style", "media", "style", "style", "style"] and rules[3]["parent_rule_id"] == 0
 
 
+def test_passes_hold_pieces_only(spark):
+    made = []
+    pieces = in_pieces((made.append(i) or (i, {"k": "v"}) for i in range(100)), pa.schema([("i", pa.int64()), ("m", pa.map_(pa.string(), pa.string()))]), 8)
+    assert next(pieces).num_rows == 8 and len(made) == 8
+    assert [p.num_rows for p in pieces] == [8] * 11 + [4]
+    library = Library.from_bytes(spark, [("x", basic(files={"OEBPS/c1.xhtml": page("<p class='hi'>one<br>two</p>" * PIECE)})), ("y", basic(spine=())), ("z", b"no archive")])
+    keys = ("book_id", "chapter_index", "node_id")
+    nodes = rows(library.ast_nodes().drop("chapter_id"), *keys)
+    assert nodes == rows(flattened(library.chapters(with_ast=True)), *keys) and sum(n["tag"] == "br" and n["depth"] == 4 for n in nodes) == PIECE
+    bare = library.ast_nodes(styled=False, only="Element")
+    assert rows(bare.drop("chapter_id"), *keys) == [n | {"styles": None} for n in nodes if n["kind"] == "Element"]
+    styled = rows(styled_elements(bare, library.css_rules()), *keys)
+    assert styled == [{k: n[k] for k in (*keys, "styles")} for n in nodes if n["styles"]] and len(styled) > PIECE
+
+
+def test_inline_declarations(spark):
+    blocks = ["", ";", "a", "a:", ":b", "a: b", " a : b:c ; a: d;;x:y", "q: 'a;b'; r: \"c;'d\"; s: 'it", "u: url(a;b)", "\u00a0a\u2003:\u00a0b\n", "a: 'x' ; b: \"\"", "k: \x1cv\x1c", "a: b\nc; d: e\n", None]
+    got = spark.createDataFrame(list(enumerate(blocks)), "i int, b string").select("i", text.declarations(F.col("b")).alias("d")).collect()
+    assert {r["i"]: {e["key"]: e["value"] for e in r["d"]} for r in got} == {i: css.declarations(b or "") for i, b in enumerate(blocks)}
+
+
 def test_links_and_resources(spark):
     library = Library.from_bytes(spark, [("x", basic())])
     wanted = spark.createDataFrame([("x", 2, h) for h in ("../c1.xhtml#f", "OEBPS/c1.xhtml#a", "OEBPS/./c1.xhtml#a#b", "http://a/b", "#q", " OEBPS/c2.xhtml ", "img.png")] + [("x", 9, "../c1.xhtml"), ("x", 9, "OEBPS/c1.xhtml")], "book_id string, chapter_index bigint, href string")

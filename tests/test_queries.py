@@ -1,5 +1,6 @@
 import glob
 import os
+import re
 
 import pytest
 
@@ -37,5 +38,14 @@ def test_query_equals_sql(spark, duck, name):
     assert sorted(map(repr, got)) == sorted(map(repr, expected))
 
 
+def test_styled_elements_reads_archives_twice(spark):
+    """Once for nodes and once for rules, each pass behind one that writes them, and contents are gathered in one exchange."""
+    frame = OWN["archive_styled_elements"](spark, FOLDER)
+    frame.collect()
+    plan = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"MapIn(?:Arrow|Pandas) ", plan)) == 4
+    assert plan.count("partial_collect_list(struct(spine_pos") == 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
